@@ -1,2 +1,160 @@
-ORACLE_SQL = ""
-def speech_periods(u): return u
+"""Problem 2: continuous periods of overlapping intervals and the gaps between.
+
+Times are whole milliseconds. An entity's time line is cut into shards of
+``SHARD`` units; what is set within a shard is a run bitmap: the sorted run
+starts and run ends of its set bits, as in a run container of a compressed
+bitmap. Union of bitmaps is one pass over the sorted starts and ends: a run
+begins where every earlier start already has its end. Set runs of neighbouring
+shards that touch are joined, and the clear runs between set runs are the gaps.
+
+No step sorts an entity as a whole. Shards are joined within blocks of
+``BLOCK`` units, and blocks of an entity meet only through the few runs that
+touch a block's edge and one row per block.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from strandline.functions.speech import canonical_speaker, utterance_speaker
+
+SHARD = 1 << 16
+BLOCK = 1 << 26
+LONGEST_WORD_MS = 4000
+#: Times beyond this many units either way are no times.
+LIMIT = 1 << 50
+
+
+def run_bitmap(starts: Column, ends: Column) -> Column:
+    """Run starts and ends (sorted arrays of set intervals, half open) of their union."""
+    s, e = F.array_sort(starts), F.array_sort(ends)
+    begins = F.filter(s, lambda x, i: (i == 0) | (x > F.get(e, i - 1)))
+    stops = F.filter(e, lambda x, i: (i == F.size(e) - 1) | (F.get(s, i + 1) > x))
+    return F.arrays_zip(begins.alias("b"), stops.alias("e"))
+
+
+def _set_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end) of the set runs, joined within blocks."""
+    shard = F.explode(F.sequence(F.floor(F.col("start") / SHARD), F.floor((F.col("end") - 1) / SHARD)))
+    cut = rows.withColumn("shard", shard).select(
+        *keys,
+        "shard",
+        F.struct(
+            F.greatest(F.col("start"), F.col("shard") * SHARD).alias("s"),
+            F.least(F.col("end"), (F.col("shard") + 1) * SHARD).alias("e"),
+        ).alias("piece"),
+    )
+    bitmaps = cut.groupBy(*keys, "shard").agg(F.collect_set("piece").alias("pieces"))
+    runs = bitmaps.withColumn("run", F.explode(run_bitmap(F.col("pieces.s"), F.col("pieces.e"))))
+    runs = runs.select(*keys, F.floor(F.col("shard") * SHARD / BLOCK).alias("block"), F.col("run.b").alias("start"), F.col("run.e").alias("end"))
+    order = Window.partitionBy(*keys, "block").orderBy("start")
+    fresh = F.when(F.col("start") <= F.lag("end").over(order), 0).otherwise(1)
+    numbered = runs.withColumn("fresh", fresh).withColumn("no", F.sum("fresh").over(order))
+    return numbered.groupBy(*keys, "block", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, kind, start_ms, end_ms): maximal set runs (period) and the clear
+    runs between two successive ones (gap) of half-open intervals [start, end).
+
+    ``start`` and ``end`` are whole units (bigint). Rows that lack a bound or
+    a key, or whose end is not after the start, are left out. Touching
+    intervals join; repeated rows change nothing. An empty input gives no
+    rows; columns of ``df`` that are not named are ignored.
+    """
+    renamed = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, renamed, strict=True)], F.col(start).alias("start"), F.col(end).alias("end"))
+    for n in renamed:
+        rows = rows.where(F.col(n).isNotNull())
+    rows = rows.where((F.col("end") > F.col("start")) & (F.abs("start") < LIMIT) & (F.abs("end") < LIMIT))
+    runs = _set_runs(rows, renamed).drop("no")
+    # Runs of different blocks can only meet at a block's edge.
+    at_edge = (F.pmod(F.col("start"), F.lit(BLOCK)) == 0) | (F.pmod(F.col("end"), F.lit(BLOCK)) == 0)
+    order = Window.partitionBy(*renamed).orderBy("start")
+    edge = runs.where(at_edge).withColumn("fresh", F.when(F.col("start") <= F.lag("end").over(order), 0).otherwise(1))
+    edge = edge.withColumn("no", F.sum("fresh").over(order))
+    edge = edge.groupBy(*renamed, "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    edge = edge.withColumn("block", F.floor(F.col("start") / BLOCK)).drop("no")
+    periods = runs.where(~at_edge).unionByName(edge)
+    inside = Window.partitionBy(*renamed, "block").orderBy("start")
+    within = periods.withColumn("before", F.lag("end").over(inside))
+    tails = periods.groupBy(*renamed, "block").agg(F.max("end").alias("tail"))
+    tails = tails.withColumn("tail", F.lag("tail").over(Window.partitionBy(*renamed).orderBy("block"))).where("tail IS NOT NULL")
+    joined = within.join(tails, [*renamed, "block"], "left").withColumn("before", F.coalesce("before", "tail"))
+    named = [F.col(n).alias(k) for k, n in zip(keys, renamed, strict=True)]
+    kinds = F.array(
+        F.struct(F.lit("period").alias("kind"), F.col("start").alias("start_ms"), F.col("end").alias("end_ms")),
+        F.struct(F.lit("gap").alias("kind"), F.col("before").alias("start_ms"), F.col("start").alias("end_ms")),
+    )
+    return joined.select(*named, F.explode(kinds).alias("x")).select(*keys, "x.*").where("start_ms IS NOT NULL")
+
+
+def ms(seconds: Column) -> Column:
+    """Whole milliseconds of seconds; NULL if missing, NaN or infinite."""
+    return F.when(F.abs(seconds) < 1e12, F.round(seconds * 1000).cast("long"))
+
+
+def speech_periods(utterances: DataFrame) -> DataFrame:
+    """Speech periods and silences per interaction and speaker (p1, p2, p3).
+
+    An utterance's interval counts for its speaker, a word's for the word's
+    own; words longer than ``LONGEST_WORD_MS`` are left out, as are intervals
+    of a speaker that no label names.
+    """
+    talk = utterances.select(
+        "interaction_id",
+        utterance_speaker(F.col("speaker_role"), F.col("transcript"), F.col("speaker_file_id")).alias("speaker"),
+        ms(F.col("start_s")).alias("start"),
+        ms(F.col("end_s")).alias("end"),
+    )
+    words = utterances.select("interaction_id", F.explode("words").alias("w")).select(
+        "interaction_id",
+        canonical_speaker(F.col("w.speaker")).alias("speaker"),
+        ms(F.col("w.start_s")).alias("start"),
+        ms(F.col("w.end_s")).alias("end"),
+    )
+    words = words.where(F.col("end") - F.col("start") <= LONGEST_WORD_MS)
+    return periods_and_gaps(talk.unionByName(words), ["interaction_id", "speaker"], "start", "end")
+
+
+_LABEL_SQL = """CASE
+  WHEN regexp_matches(t, '^(speaker|spk|participant|part|p)[\\s_.-]*0*[1-3]$') THEN 'p' || right(t, 1)
+  WHEN regexp_matches(t, '^0*[1-3]$') THEN 'p' || right(t, 1)
+  WHEN regexp_matches(t, '^(speaker )?[abc]$') THEN 'p' || translate(right(t, 1), 'abc', '123') END"""
+
+
+def _label_sql(column: str) -> str:
+    blanks = r"[\s\x{00a0}]+"
+    return _LABEL_SQL.replace("(t,", f"(trim(regexp_replace(lower({column}), '{blanks}', ' ', 'g')),")
+
+
+_INLINE_SQL = r"""'^(?:\s|>|[\[({<]?\d[\d:.,]*\s*s?[\])}>]?[\s]|-->)*(?:\[\s*(?:(?:speaker|spk|participant|part|p)[\s_.-]*0*)?([1-3abc])\s*\]|(?:speaker|spk|participant|part|p)[\s_.-]*0*([1-3])\s*(?::|-\s)|([abc])\s*:)'"""
+
+ORACLE_SQL = f"""
+WITH u AS (SELECT DISTINCT ON (utterance_id) * FROM utterances),
+talk AS (
+  SELECT interaction_id,
+    coalesce({_label_sql("speaker_role")},
+      'p' || nullif(translate(concat(
+        regexp_extract(lower(transcript), {_INLINE_SQL}, 1), regexp_extract(lower(transcript), {_INLINE_SQL}, 2),
+        regexp_extract(lower(transcript), {_INLINE_SQL}, 3)), 'abc', '123'), ''),
+      {_label_sql("regexp_extract(speaker_file_id, '_([^_]+)$', 1)")}) AS speaker,
+    start_s, end_s, 1e9 AS longest FROM u),
+w AS (SELECT interaction_id, unnest(words) AS w FROM u),
+words AS (
+  SELECT interaction_id, {_label_sql("w.speaker")} AS speaker, w.start_s, w.end_s, {LONGEST_WORD_MS} AS longest FROM w),
+iv AS (
+  SELECT interaction_id, speaker, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS e, longest
+  FROM (SELECT * FROM talk UNION ALL SELECT * FROM words)
+  WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s)),
+ok AS (SELECT * FROM iv WHERE e > s AND e - s <= longest AND speaker IS NOT NULL AND interaction_id IS NOT NULL),
+m AS (
+  SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY interaction_id, speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    THEN 0 ELSE 1 END AS fresh FROM ok),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY interaction_id, speaker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS no FROM m),
+p AS (SELECT interaction_id, speaker, no, min(s) AS s, max(e) AS e FROM g GROUP BY ALL),
+q AS (SELECT *, lag(e) OVER (PARTITION BY interaction_id, speaker ORDER BY s) AS b FROM p)
+SELECT interaction_id, speaker, 'period' AS kind, s AS start_ms, e AS end_ms FROM q
+UNION ALL SELECT interaction_id, speaker, 'gap', b, s FROM q WHERE b IS NOT NULL
+"""
