@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import nearest, percentiles
+from strandline.llm import leaks, mixing, nearest, pairs, percentiles, turns
 from strandline.operators import timestamps
 from strandline.plans.core_problems import recordings
 from strandline.session import table
@@ -40,8 +40,48 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_by_rings(clips, gaze, "timing_id", "sample_id", "recording_id", "at_ms", "at_ms", 20)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers of both clip tables with their defect."""
+    results = table(spark, sf_dir, "clip_results").select(
+        F.lit("clip_results").alias("pair_table"), F.col("result_id").alias("pair_id"), F.col("user_text").alias("question"), "text"
+    )
+    comparisons = table(spark, sf_dir, "clip_comparisons").select(
+        F.lit("clip_comparisons").alias("pair_table"), F.col("comparison_id").alias("pair_id"), F.col("user_text").alias("question"), F.col("source_text").alias("text")
+    )
+    return pairs.defective_pairs(results.unionByName(comparisons), table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean speaker turns of every interaction."""
+    return turns.speaker_turns(table(spark, sf_dir, "utterances"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with each evaluation item they leak."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of sources, record by record."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of the mix."""
+    return mixing.report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict:
-    return {"p3_percentiles": p3_percentiles, "p3_daily_combined": p3_daily_combined, "p4_found": p4_found}
+    return {
+        "p3_percentiles": p3_percentiles,
+        "p3_daily_combined": p3_daily_combined,
+        "p4_found": p4_found,
+        "p6_found": p6_found,
+        "p7_found": p7_found,
+        "p8_found": p8_found,
+        "p9_mix": p9_mix,
+        "p9_report": p9_report,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
