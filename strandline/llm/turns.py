@@ -137,6 +137,8 @@ class Tagger:
                     elif last[0] is not None:
                         step[int(span > 0 and span == last[1]), last[0], tag] += 1
                 last = (tag, span)
+        # one bracket holds either a note or speech
+        step[1, SPEECH, NOTE] = step[1, NOTE, SPEECH] = 0.01
         model = cls()
         vocabulary = set().union(*words)
         totals = np.array([sum(w.values()) for w in words], dtype=float) + 1.0
