@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import leaks, mixing, nearest, pairs, percentiles, turns
+from strandline.llm import leaks, mixing, nearest, pairs, percentiles, reading, turns
 from strandline.operators import timestamps
 from strandline.plans.core_problems import recordings
 from strandline.session import table
@@ -71,6 +71,17 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of every English document."""
+    tables = (table(spark, sf_dir, name) for name in ("documents", "eval_items", "reading_labels"))
+    return reading.reading_levels(*tables).select("doc_id", F.round("level", 4).alias("level"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents of level 4 or 5."""
+    return p10_levels(spark, sf_dir).where(F.col("level") >= reading.DEMANDING).select("doc_id")
+
+
 def queries() -> dict:
     return {
         "p3_percentiles": p3_percentiles,
@@ -81,6 +92,8 @@ def queries() -> dict:
         "p8_found": p8_found,
         "p9_mix": p9_mix,
         "p9_report": p9_report,
+        "p10_found": p10_found,
+        "p10_levels": p10_levels,
     }
 
 
