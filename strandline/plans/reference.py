@@ -1,0 +1,15 @@
+"""All queries on the general operators."""
+
+from __future__ import annotations
+
+from strandline.plans import events, similarity
+
+CATALOGS = (similarity.catalog, events.catalog)
+
+
+def queries() -> dict:
+    return {name: q for c in CATALOGS for name, q in c.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for c in CATALOGS for name, sql in c.sql.items()}
