@@ -37,7 +37,12 @@ class Compactors:
     def __init__(self, seed: int, capacity: int = CAPACITY):
         self.levels: list[np.ndarray] = [np.zeros(0)]
         self.n, self.squares, self.capacity = 0, 0.0, capacity
-        self.coin = np.random.default_rng(seed)
+        self.seed, self.coin = seed, None
+
+    def flip(self) -> int:
+        if self.coin is None:
+            self.coin = np.random.default_rng(self.seed)
+        return int(self.coin.integers(2))
 
     def room(self, level: int) -> int:
         return max(LEAST, math.ceil(self.capacity * SHRINK ** (len(self.levels) - 1 - level)))
@@ -65,7 +70,7 @@ class Compactors:
                     self.levels.append(np.zeros(0))
                 values = np.sort(values)
                 keep, rest = (values[:1], values[1:]) if len(values) % 2 else (values[:0], values)
-                self.levels[h + 1] = np.concatenate([self.levels[h + 1], rest[int(self.coin.integers(2)) :: 2]])
+                self.levels[h + 1] = np.concatenate([self.levels[h + 1], rest[self.flip() :: 2]])
                 self.levels[h] = keep
                 self.squares += 4.0**h
             h += 1
@@ -113,17 +118,18 @@ def sketch(df: DataFrame, keys: list[str], value: str, capacity: int = CAPACITY)
     rows = df.select(*keys, F.col(value).cast("double").alias("_value")).where(F.abs("_value") < float("inf"))
 
     def build(batches):
+        from pyspark import TaskContext
+
         held: dict[tuple, Compactors] = {}
-        part = 0
+        task = TaskContext.get()
+        part = task.partitionId() if task else 0
         for batch in batches:
-            for key, group in batch.groupby(keys, dropna=False, sort=False)["_value"]:
+            values = batch["_value"].to_numpy(dtype=float)
+            for key, rows in batch.groupby(keys, dropna=False, sort=False).indices.items():
                 key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 if key not in held:
-                    from pyspark import TaskContext
-
-                    part = TaskContext.get().partitionId() if TaskContext.get() else 0
                     held[key] = Compactors(_seed(part, *key), capacity)
-                held[key].add(group.to_numpy(dtype=float))
+                held[key].add(values[rows])
         out = [dict(zip(keys, key, strict=True)) | s.row() | {"_part": part % FAN} for key, s in held.items()]
         yield pd.DataFrame(out, columns=[*keys, "n", "squares", "levels", "_part"]).astype({k: "object" for k in keys})
 
@@ -134,15 +140,20 @@ def sketch(df: DataFrame, keys: list[str], value: str, capacity: int = CAPACITY)
 def merge(sketches: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
     """Combine the sketches of each group, level by level."""
     fields = [sketches.schema[k] for k in keys]
+    schema = T.StructType([*fields, *_sketch_fields()])
+    gathered = sketches.groupBy(*keys).agg(F.collect_list(F.struct("n", "squares", "levels")).alias("_parts"))
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        total = Compactors(_seed("merge", *[first[k] for k in keys]), capacity)
-        for levels, n, squares in zip(group["levels"], group["n"], group["squares"], strict=True):
-            total.merge([np.asarray(v, dtype=float) for v in levels], int(n), float(squares))
-        return pd.DataFrame([{k: first[k] for k in keys} | total.row()]).astype({k: "object" for k in keys})
-
-    return sketches.groupBy(*keys).applyInPandas(join, T.StructType([*fields, *_sketch_fields()]))
+    def join(batches):
+        for batch in batches:
+            out = []
+            for *key, parts in batch[[*keys, "_parts"]].itertuples(index=False):
+                total = Compactors(_seed("merge", *key), capacity)
+                for part in parts:
+                    total.merge([np.asarray(v, dtype=float) for v in part["levels"]], int(part["n"]), float(part["squares"]))
+                out.append(dict(zip(keys, [None if pd.isna(k) else k for k in key], strict=True)) | total.row())
+            yield pd.DataFrame(out, columns=schema.names).astype({k: "object" for k in keys})
+
+    return gathered.mapInPandas(join, schema)
 
 
 def quantiles(sketches: DataFrame, keys: list[str], at: tuple[float, ...] = PERCENTILES) -> DataFrame:

@@ -17,6 +17,13 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.quantiles(percentiles.sketch(rows, ["dataset", "utt_count"], "duration_seconds"), ["dataset", "utt_count"])
 
 
+def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each day from the day's own sketch."""
+    rows = percentiles.usable_durations(table(spark, sf_dir, "duration_records"))
+    keys = ["dataset", "utt_count", "day"]
+    return percentiles.quantiles(percentiles.sketch(rows, keys, "duration_seconds"), keys)
+
+
 def p3_daily_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from one sketch a day, combined over the days."""
     rows = percentiles.usable_durations(table(spark, sf_dir, "duration_records"))
@@ -84,6 +91,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p3_daily": p3_daily,
         "p3_percentiles": p3_percentiles,
         "p3_daily_combined": p3_daily_combined,
         "p4_found": p4_found,
