@@ -229,11 +229,15 @@ def clock_of(value: Column, start_system_s: Column, start_synced_s: Column, hori
     The clock is the one that puts the reading nearest to the recording's
     start, within ``horizon_s``; NULL if none does or an input is missing.
     """
-    zero = F.lit(0.0)
-    gaps = {"synced_s": value - start_synced_s, "relative_s": value + zero}
+    gaps = {"synced_s": value - start_synced_s, "relative_s": value + F.lit(0.0)}
     gaps |= {k: value * (per / 1e6) - start_system_s for k, per in UNIX_CLOCKS.items()}
-    usable = [F.when((g > -1.0) & (g < horizon_s), F.struct(F.abs(g).alias("gap"), F.lit(k).alias("clock"))) for k, g in gaps.items()]
-    return F.array_min(F.filter(F.array(*usable), lambda x: x.isNotNull()))["clock"]
+    far = F.lit(float("inf"))
+    usable = {k: F.when((g > -1.0) & (g < horizon_s), F.abs(g)).otherwise(far) for k, g in gaps.items()}
+    nearest = F.least(*usable.values())
+    out = F.when(nearest == far, None)
+    for name, gap in usable.items():
+        out = out.when(gap == nearest, name)
+    return out
 
 
 def clock_us(value: Column, clock: Column, start_system_s: Column, start_synced_s: Column) -> Column:
