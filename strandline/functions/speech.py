@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # How a label of one of three speakers is spelled.
-LABEL = r"(?:speaker|spk|participant|part|p)[\s_.-]*0*([1-3])"
+LABEL = r"(?:speaker|spk|participant|part|p)[\s\u00a0_.-]*0*([1-3])"
 LETTER = r"([abc])"
+_BLANK = r"[\s\u00a0]"
 #: What may stand before an inline label: stamps in any brackets, arrows, markers.
 BEFORE_LABEL = r"^(?:\s|>|[\[({<]?\d[\d:.,]*\s*s?[\])}>]?(?=[\s\[>])|-->)*"
 INLINE = rf"(?i){BEFORE_LABEL}(?:\[\s*(?:{LABEL}|{LETTER})\s*\]|(?:{LABEL}\s*(?::|-(?=\s))|{LETTER}\s*:))"
@@ -15,12 +16,11 @@ INLINE = rf"(?i){BEFORE_LABEL}(?:\[\s*(?:{LABEL}|{LETTER})\s*\]|(?:{LABEL}\s*(?:
 
 def canonical_speaker(label: Column) -> Column:
     """p1, p2 or p3 for any spelling of a label (1/A, 2/B, 3/C); else NULL."""
-    text = F.regexp_replace(F.lower(label), "[\\s\\u00a0]+", " ")
-    text = F.trim(text)
-    digit = F.regexp_extract(text, rf"^{LABEL}$", 1)
-    letter = F.regexp_extract(text, rf"^(?:speaker )?{LETTER}$", 1)
-    bare = F.regexp_extract(text, r"^0*([1-3])$", 1)
-    number = F.when(digit != "", digit).when(bare != "", bare).when(letter != "", F.translate(letter, "abc", "123"))
+    text = F.lower(label)
+    digit = F.regexp_extract(text, rf"^{_BLANK}*{LABEL}{_BLANK}*$", 1)
+    bare = F.regexp_extract(text, rf"^{_BLANK}*0*([1-3]){_BLANK}*$", 1)
+    letter = F.regexp_extract(text, rf"^{_BLANK}*(?:speaker{_BLANK}+)?{LETTER}{_BLANK}*$", 1)
+    number = F.when(digit != "", digit).when(letter != "", F.translate(letter, "abc", "123")).when(bare != "", bare)
     return F.concat(F.lit("p"), number)
 
 

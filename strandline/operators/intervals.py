@@ -28,7 +28,7 @@ LIMIT = 1 << 50
 
 def run_bitmap(starts: Column, ends: Column) -> Column:
     """Run starts and ends (sorted arrays of set intervals, half open) of their union."""
-    s, e = F.array_sort(starts), F.array_sort(ends)
+    s, e = F.sort_array(starts), F.sort_array(ends)
     begins = F.filter(s, lambda x, i: (i == 0) | (x > F.get(e, i - 1)))
     stops = F.filter(e, lambda x, i: (i == F.size(e) - 1) | (F.get(s, i + 1) > x))
     return F.arrays_zip(begins.alias("b"), stops.alias("e"))
