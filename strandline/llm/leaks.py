@@ -199,6 +199,8 @@ def probe_documents(texts: list[str | None], index: ItemIndex, hasher: _Hasher)
         reach = 2 * len(own)
         near = words[doc][max(0, a - reach) : b + SHINGLE + reach]
         shared = np.isin(index.shingles[item], hashes[doc][max(0, a - reach) : b + reach]).sum()
+        if shared < LEAST_SHARED:  # a stray phrase
+            continue
         aligned = aligned_words(own, near)
         if aligned >= LEAST_SHARE * len(own):
             out.append((doc, item, aligned, float(shared) / len(index.shingles[item])))
