@@ -685,3 +685,77 @@ def zip_join(t: Tables) -> DataFrame:
     b = t.embeddings.select("vec_id", F.reverse(F.col("embedding").cast("array<double>")).alias("b"))
     rows = matching.positional_join(a, b, ["vec_id"], "a", "b")
     return rows.select("vec_id", "pos", F.round("left_item", 6).alias("left_item"), F.round("right_item", 6).alias("right_item"))
+
+
+@catalog.add(
+    """WITH v AS (SELECT user_id, epoch_us(ts) AS t, event_id FROM events WHERE event_type IN ('view', 'click'))
+    SELECT user_id, count(*) AS points, string_agg(event_id, ',' ORDER BY t, event_id) AS merged FROM v GROUP BY 1"""
+)
+def grouped_array_merge(t: Tables) -> DataFrame:
+    """Ordered arrays of two sources concatenated and sorted again by time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    one = lambda kind: t.events.where(F.col("event_type") == kind).groupBy("user_id").agg(F.collect_list(F.struct(at.alias("t"), "event_id")).alias("p"))
+    both = one("view").unionByName(one("click")).groupBy("user_id").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    return both.select("user_id", F.size("p").cast("bigint").alias("points"), F.array_join(F.transform("p", lambda x: x["event_id"].cast("string")), ",").alias("merged"))
+
+
+@catalog.add(
+    """SELECT l.l_orderkey, l.l_linenumber, CAST(e.embedding[(l.l_partkey % 64) + 1] AS DOUBLE) AS value FROM lineitem l JOIN embeddings e ON e.vec_id = l.l_suppkey"""
+)
+def time_index_lookup(t: Tables) -> DataFrame:
+    """An array element looked up by a position computed from the row."""
+    e = t.embeddings.select(F.col("vec_id").alias("l_suppkey"), "embedding")
+    at = F.get("embedding", (F.col("l_partkey") % 64).cast("int")).cast("double")
+    return t.lineitem.join(e, "l_suppkey").select("l_orderkey", "l_linenumber", at.alias("value"))
+
+
+@catalog.add(
+    """WITH d AS (SELECT DISTINCT ON (timing_id) * FROM video_timings)
+    SELECT recording_id, arg_max(timing_id, struct_pack(a := coalesce(time_annot, -1), b := -timing_id)) AS timing_id, round(max(coalesce(time_annot, -1)), 6) AS time_annot FROM d GROUP BY 1"""
+)
+def latest_nested(t: Tables) -> DataFrame:
+    """The entry of the greatest annotation time; a missing one counts as -1, the first of equals wins."""
+    rows = t.video_timings.select("timing_id", "recording_id", F.coalesce("time_annot", F.lit(-1.0)).alias("time_annot")).dropDuplicates(["timing_id"])
+    best = dedupe.best_per_key(rows, ["recording_id"], [F.col("time_annot"), -F.col("timing_id")])
+    return best.select("recording_id", "timing_id", F.round("time_annot", 6).alias("time_annot"))
+
+
+@catalog.add(
+    """SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS customer, CAST(o_totalprice AS BIGINT) AS price, CAST(NULL AS VARCHAR) AS note FROM (
+      SELECT o_orderkey, o_custkey, floor(o_totalprice) AS o_totalprice FROM orders
+      WHERE o_orderkey >= 200 AND o_orderkey < 3000 AND o_orderstatus IN ('F', 'O') AND NOT contains(o_orderpriority, 'LOW'))"""
+)
+def basic_filters(t: Tables) -> DataFrame:
+    """Block range, value list and excluded substring, then a typed projection."""
+    from pyspark.sql import types as T
+
+    from strandline.operators.annotations import conform
+
+    rows = t.orders.where("o_orderkey >= 200 AND o_orderkey < 3000").where(F.col("o_orderstatus").isin("F", "O"))
+    rows = rows.where(~matching.any_of([F.col("o_orderpriority").contains("LOW")])).withColumnsRenamed({"o_custkey": "customer"})
+    schema = T.StructType([T.StructField("customer", T.IntegerType()), T.StructField("price", T.LongType()), T.StructField("note", T.StringType())])
+    return conform(rows.withColumn("price", F.floor("o_totalprice")), schema, "o_orderkey")
+
+
+@catalog.add(
+    """WITH g AS (SELECT interaction_id, utterance_id, speaker_role, start_s FROM (SELECT DISTINCT ON (utterance_id) * FROM utterances) WHERE start_s IS NOT NULL)
+    SELECT utterance_id, CAST(ceil(start_s / 120) AS BIGINT) AS segment, row_number() OVER (PARTITION BY interaction_id, CAST(ceil(start_s / 120) AS BIGINT) ORDER BY start_s, utterance_id) AS place FROM g"""
+)
+def segments(t: Tables) -> DataFrame:
+    """Right-closed time segments of an interaction and the order within them."""
+    rows = t.utterances.where("start_s IS NOT NULL").select("utterance_id", "interaction_id", "start_s").dropDuplicates(["utterance_id"])
+    rows = rows.withColumn("segment", windows.time_bucket(F.col("start_s")))
+    by = Window.partitionBy("interaction_id", "segment").orderBy("start_s", "utterance_id")
+    return rows.select("utterance_id", "segment", F.row_number().over(by).cast("bigint").alias("place"))
+
+
+@catalog.add(
+    """WITH p AS (SELECT doc_id, lang, n_chars, length(text) AS n FROM (SELECT DISTINCT ON (doc_id) * FROM documents))
+    SELECT lang, count(*) AS documents, count(n) AS valid, count(*) - count(n) AS empty, round(count(n) / (count(*) + 1e-6), 6) AS valid_share FROM p GROUP BY ROLLUP (lang)"""
+)
+def annotation_stats(t: Tables) -> DataFrame:
+    """Valid and null members per group and over all, with a guarded ratio."""
+    n = F.length("text")
+    return t.documents.select("lang", "text").rollup("lang").agg(
+        F.count("*").alias("documents"), F.count(n).alias("valid"), (F.count("*") - F.count(n)).alias("empty"), F.round(F.count(n) / (F.count("*") + 1e-6), 6).alias("valid_share")
+    )
