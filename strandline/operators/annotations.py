@@ -46,8 +46,8 @@ def annotation_rows(responses: DataFrame) -> DataFrame:
         "FROM _annotation_sets s, LATERAL variant_explode(s.annotations) AS a"
     )
     lists = F.try_variant_get("annotation", "$.data", "array<array<variant>>")
-    last = F.element_at(F.filter(lists, lambda x: F.size(x) > 0), -1)
-    press = F.try_variant_get(F.element_at(last, -1), "$.press_data", "variant")
+    last = F.try_element_at(F.filter(lists, lambda x: F.size(x) > 0), F.lit(-1))
+    press = F.try_variant_get(F.try_element_at(last, F.lit(-1)), "$.press_data", "variant")
     return rows.withColumn("press", press).select(
         "path", "node_id", "annotation_key",
         F.try_variant_get("annotation", "$.participant", "string").alias("participant"),

@@ -13,8 +13,8 @@ def hopping_groups(df: DataFrame, key: str, item: str, size: int = 3, stride: in
     hop = size + stride
     span = df.groupBy(key).agg(F.min(item).alias("lo"), F.max(item).alias("hi"))
     starts = span.select(key, F.explode(F.sequence("lo", "hi", F.lit(hop).cast(df.schema[item].dataType))).alias("window_start"))
-    wanted = starts.select(key, "window_start", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
-    wanted = wanted.withColumn("_id", F.col("window_start") + F.col("k"))
+    wanted = starts.select(key, "window_start", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_k"))
+    wanted = wanted.withColumn("_id", F.col("window_start") + F.col("_k"))
     have = df.select(F.col(key).alias("_key"), F.col(item).alias("_item")).distinct()
     met = wanted.join(have, (F.col(key) == F.col("_key")) & (F.col("_id") == F.col("_item")), "left")
     return met.groupBy(key, "window_start").agg(
