@@ -1,7 +1,7 @@
 """Problem 9: combine sources so that each has its target share of all tokens.
 
 The documents of a source, shuffled anew for every repetition, form one stream
-that is cut into blocks of ``BLOCK`` tokens. A schedule of as many slots as
+that is cut into blocks of equally many tokens. A schedule of as many slots as
 there are blocks to fill gives slot ``i`` to the source in whose part of the
 cumulative target weights the point ``frac(i * golden ratio)`` falls: after any
 number of slots every source is within a few slots of its share. The k-th slot
@@ -13,6 +13,7 @@ chunks), so no task orders a whole source.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from strandline.session import stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-BLOCK = 2_048
+#: Tokens of a block: a thousandth of the mix, within these bounds.
+SHORTEST, BLOCK = 32, 4_096
 SLOT_CHUNK = 1 << 14
-SHUFFLE_CHUNKS = 1_024
+#: Documents of a source that one ordering chunk of its stream has about.
+SHUFFLE_CHUNK = 50_000
 GOLDEN = 0.6180339887498949
 
 
@@ -76,17 +79,18 @@ def plan_needs(sizes: DataFrame, targets: DataFrame, total: int | None = None) -
     plan = plan.withColumn("weight", F.coalesce(F.try_divide("weight", F.sum("weight").over(every)), F.lit(0.0)))
     most = F.min(F.when(live, F.col("held") * F.col("max_repeats") / F.col("weight"))).over(every)
     plan = plan.withColumn("total", F.least(F.floor(most), F.lit(total)) if total is not None else F.floor(most))
+    plan = plan.withColumn("block", F.greatest(F.lit(SHORTEST), F.least(F.lit(BLOCK), F.floor(F.col("total") / 1000))))
     plan = plan.withColumn("need", F.floor(F.col("weight") * F.col("total")))
     upper = F.sum("weight").over(every.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
     plan = plan.withColumn("upper", upper).withColumn("lower", F.col("upper") - F.col("weight"))
     # one block more than needed may be scheduled, but never beyond the cap
-    return plan.withColumn("repeats", F.when(live, F.least(F.ceil((F.col("need") + BLOCK) / F.col("held")), F.col("max_repeats"))).otherwise(0))
+    return plan.withColumn("repeats", F.when(live, F.least(F.ceil((F.col("need") + F.col("block")) / F.col("held")), F.col("max_repeats"))).otherwise(0))
 
 
 def schedule(plan: DataFrame) -> DataFrame:
     """(slot, source, k): the source of every slot and its rank for that source."""
     spark = plan.sparkSession
-    slots = int(plan.agg(F.max(F.floor(F.col("total") / BLOCK))).first()[0] or 0)
+    slots = int(plan.agg(F.max(F.floor(F.col("total") / F.col("block")))).first()[0] or 0)
     parts = plan.where("weight > 0").select("source", "lower", "upper")
     point = F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0))
     # the few target sources as one array, so that each slot finds its own without a join
@@ -107,19 +111,20 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 def streams(sizes: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     """(source, k, doc_id, repetition, tokens): documents of the k-th block of each source's stream."""
-    chosen = sizes.join(plan.where("repeats > 0").select("source", "held", "repeats"), "source")
+    chosen = sizes.join(plan.where("repeats > 0").select("source", "block", "repeats"), "source")
     again = chosen.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
     mixed = again.withColumn("order", F.xxhash64("doc_id", "repetition", F.lit(seed)))
-    mixed = mixed.withColumn("chunk", F.shiftrightunsigned("order", 54).cast("int"))
+    bits = max(1, min(30, math.ceil(math.log2(max(2, sizes.count() / SHUFFLE_CHUNK)))))
+    mixed = mixed.withColumn("chunk", F.shiftrightunsigned("order", 64 - bits).cast("int"))
     sums = mixed.groupBy("source", "repetition", "chunk").agg(F.sum("tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("repetition", "chunk")) - F.col("n")
     sums = sums.select("source", "repetition", "chunk", before.alias("before"))
     inside = F.sum("tokens").over(
-        Window.partitionBy("source", "repetition", "chunk").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("source", "repetition", "chunk").orderBy(F.shiftrightunsigned("order", 1), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     )
     placed = mixed.withColumn("inside", inside).join(sums, ["source", "repetition", "chunk"])
     middle = F.col("before") + F.col("inside") - F.col("tokens") / 2
-    return placed.select("source", F.floor(middle / BLOCK).alias("k"), "doc_id", "repetition", "tokens")
+    return placed.select("source", F.floor(middle / F.col("block")).alias("k"), "doc_id", "repetition", "tokens")
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER, seed: int = 1) -> DataFrame:

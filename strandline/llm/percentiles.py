@@ -28,6 +28,8 @@ LEAST = 16
 DELTA = 0.01
 #: Sketches of one group that a single merge task takes in the first round are spread over so many tasks.
 FAN = 32
+#: Columns of a sketch: number of values, sum of squared shifts, levels.
+SKETCH = ("sketch_n", "sketch_squares", "sketch_levels")
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -91,14 +93,14 @@ class Compactors:
         return math.sqrt(2.0 * math.log(2.0 / DELTA) * self.squares) / self.n if self.n else 0.0
 
     def row(self) -> dict:
-        return {"n": self.n, "squares": self.squares, "levels": [v.tolist() for v in self.levels]}
+        return dict(zip(SKETCH, (self.n, self.squares, [v.tolist() for v in self.levels]), strict=True))
 
 
 def _sketch_fields() -> list[T.StructField]:
     return [
-        T.StructField("n", T.LongType()),
-        T.StructField("squares", T.DoubleType()),
-        T.StructField("levels", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        T.StructField(SKETCH[0], T.LongType()),
+        T.StructField(SKETCH[1], T.DoubleType()),
+        T.StructField(SKETCH[2], T.ArrayType(T.ArrayType(T.DoubleType()))),
     ]
 
 
@@ -107,7 +109,7 @@ def _seed(*parts: object) -> int:
 
 
 def sketch(df: DataFrame, keys: list[str], value: str, capacity: int = CAPACITY) -> DataFrame:
-    """One sketch per group: ``keys, n, squares, levels``.
+    """One sketch per group: ``keys`` and the columns ``SKETCH``.
 
     Each partition builds sketches of what it holds before anything is
     shuffled; they merge in two rounds, so a group that holds a third of all
@@ -131,7 +133,7 @@ def sketch(df: DataFrame, keys: list[str], value: str, capacity: int = CAPACITY)
                     held[key] = Compactors(_seed(part, *key), capacity)
                 held[key].add(values[rows])
         out = [dict(zip(keys, key, strict=True)) | s.row() | {"_part": part % FAN} for key, s in held.items()]
-        yield pd.DataFrame(out, columns=[*keys, "n", "squares", "levels", "_part"]).astype({k: "object" for k in keys})
+        yield pd.DataFrame(out, columns=[*keys, *SKETCH, "_part"]).astype({k: "object" for k in keys})
 
     partial = rows.mapInPandas(build, T.StructType([*fields, *_sketch_fields(), T.StructField("_part", T.LongType())]))
     return merge(merge(partial, [*keys, "_part"], capacity), keys, capacity)
@@ -141,7 +143,7 @@ def merge(sketches: DataFrame, keys: list[str], capacity: int = CAPACITY) -> Dat
     """Combine the sketches of each group, level by level."""
     fields = [sketches.schema[k] for k in keys]
     schema = T.StructType([*fields, *_sketch_fields()])
-    gathered = sketches.groupBy(*keys).agg(F.collect_list(F.struct("n", "squares", "levels")).alias("_parts"))
+    gathered = sketches.groupBy(*keys).agg(F.collect_list(F.struct(*SKETCH)).alias("_parts"))
 
     def join(batches):
         for batch in batches:
@@ -149,7 +151,7 @@ def merge(sketches: DataFrame, keys: list[str], capacity: int = CAPACITY) -> Dat
             for *key, parts in batch[[*keys, "_parts"]].itertuples(index=False):
                 total = Compactors(_seed("merge", *key), capacity)
                 for part in parts:
-                    total.merge([np.asarray(v, dtype=float) for v in part["levels"]], int(part["n"]), float(part["squares"]))
+                    total.merge([np.asarray(v, dtype=float) for v in part[SKETCH[2]]], int(part[SKETCH[0]]), float(part[SKETCH[1]]))
                 out.append(dict(zip(keys, [None if pd.isna(k) else k for k in key], strict=True)) | total.row())
             yield pd.DataFrame(out, columns=schema.names).astype({k: "object" for k in keys})
 
@@ -159,6 +161,8 @@ def merge(sketches: DataFrame, keys: list[str], capacity: int = CAPACITY) -> Dat
 def quantiles(sketches: DataFrame, keys: list[str], at: tuple[float, ...] = PERCENTILES) -> DataFrame:
     """``keys, n, p05 ..., rank_error`` of merged sketches."""
     names = [f"p{round(q * 100):02d}" for q in at]
+    if clash := {"n", "rank_error", *names} & set(keys):
+        raise ValueError(f"keys {sorted(clash)} are names of results")
     fields = [sketches.schema[k] for k in keys]
     schema = T.StructType(
         [*fields, T.StructField("n", T.LongType()), *[T.StructField(x, T.DoubleType()) for x in names], T.StructField("rank_error", T.DoubleType())]
@@ -169,8 +173,8 @@ def quantiles(sketches: DataFrame, keys: list[str], at: tuple[float, ...] = PERC
             out = []
             for _, row in batch.iterrows():
                 s = Compactors(0)
-                s.levels = [np.asarray(v, dtype=float) for v in row["levels"]]
-                s.n, s.squares = int(row["n"]), float(row["squares"])
+                s.levels = [np.asarray(v, dtype=float) for v in row[SKETCH[2]]]
+                s.n, s.squares = int(row[SKETCH[0]]), float(row[SKETCH[1]])
                 out.append({k: row[k] for k in keys} | {"n": s.n} | dict(zip(names, s.quantiles(list(at)), strict=True)) | {"rank_error": s.rank_error()})
             yield pd.DataFrame(out, columns=[f.name for f in schema]).astype({k: "object" for k in keys})
 

@@ -2,9 +2,8 @@
 
 Every token of a transcript gets one of five labels (speaker, timestamp,
 annotation, filler, speech) from a hidden Markov model decoded by Viterbi. An
-observation is what a token is (its word, or a class for times, labels and
-hesitations), the kind of bracket it stands in, and whether any word came
-before it; transitions have one matrix inside a bracket and one outside. The
+observation is what a token is (its word, or a class for times, hesitations
+and labels before any word) and the kind of bracket it stands in; transitions have one matrix inside a bracket and one outside. The
 model starts from labels that only forms without doubt get (words in square
 brackets, words outside brackets, ...) and is then re-estimated from its own
 decoding, which settles words in round brackets: a sound note, or speech.
@@ -28,6 +27,7 @@ from strandline.functions.speech import utterance_speaker
 #: Transcripts that the tagger is fitted on, chosen by hash.
 SAMPLE = 20_000
 ROUNDS = 2
+PRIOR = 20
 
 SPEAKER, STAMP, NOTE, FILLER, SPEECH = range(5)
 CONTEXTS = ("none", "square", "curly", "angle", "star", "music", "double", "paren")
@@ -48,9 +48,9 @@ HESITATION = re.compile(r"u+h+m*|u+m+|e+r+m*|e+h+m+|h+m+|m{2,}")
 APOSTROPHES = str.maketrans({c: "'" for c in "’ʼ‘`´"})
 
 
-def tokens(text: str) -> list[tuple[str, int, bool, int]]:
-    """(observed form, bracket context, a word came before, bracket number) of
-    each token that can be a word; bracket number 0 is outside."""
+def tokens(text: str) -> list[tuple[str, int, int, str]]:
+    """(observed form, bracket context, bracket number, text) of each token
+    that can be a word; bracket number 0 is outside."""
     found: list[list] = []
     stack: list[tuple[str, int]] = []
     spans = 0
@@ -66,31 +66,31 @@ def tokens(text: str) -> list[tuple[str, int, bool, int]]:
                     spans += 1
                     name = _TOGGLE.get(piece) or _OPEN[opener]
                     for token in found[stack[at][1] :]:
-                        if not token[3]:
-                            token[1], token[3] = CONTEXTS.index(name), spans
+                        if not token[2]:
+                            token[1], token[2] = CONTEXTS.index(name), spans
                     del stack[at:]
                     continue
             if piece in _TOGGLE or piece in _OPEN:
                 stack.append((piece, len(found)))
             continue
-        form = {"time": "#time", "label": "#label"}.get(kind) or piece.lower().translate(APOSTROPHES)
+        form = "#time" if kind == "time" else piece.lower().translate(APOSTROPHES)
         if kind == "word" and HESITATION.fullmatch(form):
             form = "#hesitation"
-        found.append([form, 0, kind, 0, piece])
-    before = False
+        found.append([form, 0, 0, piece, kind])
     out = []
-    for form, context, kind, span, piece in found:
-        out.append((form, context, before, span, piece))
-        before = before or (kind == "word" and context in (0, 7))
+    begun = False
+    for form, context, span, piece, kind in found:
+        out.append(("#label" if kind == "label" and not begun else form, context, span, piece))
+        begun = begun or (kind == "word" and CONTEXTS[context] in ("none", "paren"))
     return out
 
 
-def _sure(form: str, context: int, before: bool) -> int | None:
+def _sure(form: str, context: int) -> int | None:
     """Label of a token whose form leaves no doubt; None for words in round brackets."""
     if form == "#time":
         return STAMP
     if form == "#label":
-        return SPEECH if before else SPEAKER
+        return SPEAKER
     if form == "#hesitation":
         return FILLER
     if context == 0:
@@ -105,14 +105,13 @@ class Tagger:
         self.words: dict[str, np.ndarray] = {}
         self.unseen = np.zeros(5)
         self.context = np.zeros((5, len(CONTEXTS)))
-        self.before = np.zeros((5, 2))
         self.first = np.zeros(5)
         self.step = np.zeros((2, 5, 5))
 
     @classmethod
     def fit(cls, texts: list[str]) -> Tagger:
         rows = [tokens(t) for t in texts]
-        labels = [[_sure(f, c, b) for f, c, b, _, _ in row] for row in rows]
+        labels = [[_sure(f, c) for f, c, _, _ in row] for row in rows]
         model = cls._count(rows, labels)
         for _ in range(ROUNDS):
             model = cls._count(rows, model._decode(rows))
@@ -121,24 +120,27 @@ class Tagger:
     @classmethod
     def _count(cls, rows: list, labels: list) -> Tagger:
         words: list[Counter] = [Counter() for _ in range(5)]
+        # what these forms are is known before any transcript is seen
+        for tag, form in ((SPEAKER, "#label"), (STAMP, "#time"), (FILLER, "#hesitation")):
+            words[tag][form] = PRIOR
         context = np.full((5, len(CONTEXTS)), 0.5)
         context[SPEECH, CONTEXTS.index("paren")] += 1.0
-        before, first, step = np.full((5, 2), 0.5), np.full(5, 0.5), np.full((2, 5, 5), 0.1)
+        first, step = np.full(5, 0.5), np.full((2, 5, 5), 0.1)
+        step[0] += 5.0
         step[1] += 4.0 * np.eye(5)
         for row, tags in zip(rows, labels, strict=True):
             last: tuple[int | None, int] = (None, 0)
-            for i, ((form, c, b, span, _), tag) in enumerate(zip(row, tags, strict=True)):
+            for i, ((form, c, span, _), tag) in enumerate(zip(row, tags, strict=True)):
                 if tag is not None:
                     words[tag][form] += 1
                     context[tag, c] += 1
-                    before[tag, int(b)] += 1
                     if i == 0:
                         first[tag] += 1
                     elif last[0] is not None:
                         step[int(span > 0 and span == last[1]), last[0], tag] += 1
                 last = (tag, span)
         # one bracket holds either a note or speech
-        step[1, SPEECH, NOTE] = step[1, NOTE, SPEECH] = 0.01
+        step[1, SPEECH, NOTE] = step[1, NOTE, SPEECH] = 1e-5
         model = cls()
         vocabulary = set().union(*words)
         totals = np.array([sum(w.values()) for w in words], dtype=float) + 1.0
@@ -147,7 +149,6 @@ class Tagger:
         rare[[SPEAKER, STAMP, FILLER]] = 1e-6
         model.unseen = np.log(rare / totals / (len(vocabulary) + 1.0))
         model.context = np.log(context / context.sum(1, keepdims=True))
-        model.before = np.log(before / before.sum(1, keepdims=True))
         model.first = np.log(first / first.sum())
         model.step = np.log(step / step.sum(2, keepdims=True))
         return model
@@ -166,8 +167,8 @@ class Tagger:
             size = np.array([len(rows[i]) for i in part])
             for r, i in enumerate(part):
                 last = 0
-                for t, (form, c, b, span, _) in enumerate(rows[i]):
-                    seen[r, t] = self.words.get(form, self.unseen) + self.context[:, c] + self.before[:, int(b)]
+                for t, (form, c, span, _) in enumerate(rows[i]):
+                    seen[r, t] = self.words.get(form, self.unseen) + self.context[:, c]
                     same[r, t] = int(span > 0 and span == last)
                     last = span
             score = self.first + seen[:, 0]
@@ -194,7 +195,7 @@ class Tagger:
 
 def _spoken(row: list, tags: list[int]) -> str:
     words = []
-    for (_, _, _, _, piece), tag in zip(row, tags, strict=True):
+    for (_, _, _, piece), tag in zip(row, tags, strict=True):
         if tag == SPEECH:
             words += re.findall(r"[^\W_]+(?:'[^\W_]+)*", piece.lower().translate(APOSTROPHES))
     return " ".join(words)

@@ -7,7 +7,10 @@ def languages():
     from strandline.llm.pairs import LanguageModel
 
     texts = {
-        "en": "the speaker wants to know what the others think about this plan and whether they will come with her to the meeting tomorrow",
+        "en": "the speaker wants to know what the others think about this plan and whether they will come with her to the meeting tomorrow "
+        "she has a red ball and the cat sat on the bed while they all eat near the table can the dog play "
+        "researchers who examined the conditions reported that intention generally decreases when speakers anticipate interruption "
+        "whether alignment can be measured reliably remains a controversial question since experimental conditions vary considerably",
         "de": "die sprecherin möchte wissen was die anderen über diesen plan denken und ob sie morgen mit ihr zur besprechung kommen werden",
         "es": "la persona quiere saber qué piensan los demás sobre este plan y si mañana van a ir con ella a la reunión del grupo",
         "fr": "la personne veut savoir ce que les autres pensent de ce plan et si demain ils viendront avec elle à la réunion du groupe",

@@ -37,7 +37,7 @@ def test_shares_and_caps(spark):
 def test_given_total_and_empty(spark):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     small = mixing.mix(documents(spark, 300), targets, total=20_000)
-    assert abs(small.agg(F.sum("tokens")).first()[0] - 20_000) < 4 * mixing.BLOCK
+    assert abs(small.agg(F.sum("tokens")).first()[0] - 20_000) < 1_000
     none = documents(spark, 1).limit(0)
     assert mixing.mix(none, targets).count() == 0
     assert mixing.report(mixing.mix(none, targets), targets).count() == 4

@@ -11,11 +11,15 @@ TALK = ("we saw the lamp near the door", "let me water the plants first", "there
 @pytest.fixture(scope="module")
 def tagger():
     texts = []
-    for i in range(240):
+    for i in range(432):
         note, talk = NOTES[i % len(NOTES)], TALK[i % len(TALK)]
         a, b = ("[", "]"), ("{", "}")
-        o, c = (a, b, ("(", ")"), ("<", ">"), ("*", "*"), ("((", "))"))[i % 6]
-        texts.append(f"P{i % 2 + 1}: {talk} {o}{note}{c} um. {TALK[(i * 5 + 1) % len(TALK)]}")
+        o, c = (a, b, ("(", ")"), ("<", ">"), ("*", "*"), ("((", "))"))[i // 6 % 6]
+        more, label = TALK[(i * 5 + 1) % len(TALK)], f"P{i % 2 + 1}:"
+        texts.append((f"{label} {talk} {o}{note}{c} um. {more}", f"{label} {o}{note}{c} {talk} uh {more}", f"{label} um {talk} {o}{note}{c} {more}")[i // 36 % 3])
+        if i % 8 == 0:  # bracketed speech
+            words = talk.split()
+            texts.append(" ".join([*words[:1], f"({' '.join(words[1:3])})", *words[3:]]))
     return turns.Tagger.fit(texts)
 
 
