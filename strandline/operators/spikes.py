@@ -22,12 +22,15 @@ joined across chunks before their length is judged.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import stage
+
 #: Readings further than this from the screen's middle (in screens) are impossible.
 FAR_SCREENS = 3.0
 CHUNK_S = 600.0
@@ -46,6 +49,8 @@ RUN_CHANCE = 1e-3
 
 _BINS, _PER_OCTAVE, _LOW = 400, 16, -20.0  # log2 bins of differences from 2^-20
 _RUNS = 64
+#: Central shares and the half-widths of a standard normal that hold them.
+_CENTRAL = [(q, NormalDist().inv_cdf((1 + q) / 2)) for q in (0.3, 0.4, 0.5, 0.6, 0.7)]
 
 
 def _bin(values: np.ndarray) -> np.ndarray:
@@ -64,6 +69,12 @@ def _quantile(counts: np.ndarray, q: float) -> float:
     return 0.0 if at == 0 else 2.0 ** (_LOW + (at - 0.5) / _PER_OCTAVE)
 
 
+def _spread(counts: np.ndarray) -> float:
+    """Normal scale of a difference histogram: the mean over several central
+    quantiles, as one alone sits on a grain of coarsely recorded readings."""
+    return sum(_quantile(counts, q) / z for q, z in _CENTRAL) / len(_CENTRAL)
+
+
 def _ordered(group: pd.DataFrame) -> pd.DataFrame:
     """Samples of a chunk in time order, each id once."""
     group = group.drop_duplicates("id")
@@ -96,7 +107,7 @@ def source_model(source: str, diffs: np.ndarray, runs: np.ndarray) -> dict:
         moved = one.copy()
         moved[0] = 0
         grain = _quantile(moved, 0.01)
-        d1, d2 = (1.4826 * _quantile(h, 0.5) for h in (one, two))
+        d1, d2 = (_spread(h) for h in (one, two))
         phi = min(max(d2 * d2 / (d1 * d1) - 1.0, 0.0), 0.9) if d1 > 0 else 0.0
         scale = max(d1 / math.sqrt(2.0 * (1.0 - phi)) if d1 > 0 else 0.0, 0.6 * grain, 1e-5)
         out[f"phi_{axis}"], out[f"scale_{axis}"] = phi, scale
@@ -234,8 +245,6 @@ def flag_readings(df: DataFrame, id_col: str, source_col: str, time_col: str, x_
             yield pd.DataFrame(out, columns=["source", "scale_x", "scale_y", "stuck"])
 
     model = merged.mapInPandas(models, "source string, scale_x double, scale_y double, stuck int")
-    from strandline.session import stage
-
     model = stage(model, "source-models")
     tested = series.join(model, "source").groupBy("source", "chunk").applyInPandas(
         lambda g: _flag_chunk(g),
