@@ -38,6 +38,8 @@ SHARES = (0.5, 0.65, 0.8, 0.9, 0.95)
 LONG, VERY_LONG = 8, 12
 RIDGE = 2.0
 LEAST_WORDS = 5
+#: Documents whose profiles a Python worker holds at once.
+SLICE = 500
 DEMANDING = 3.5
 # Closed-class words whose shares describe how sentences are built.
 CLOSED = (
@@ -77,17 +79,18 @@ def _profiles(documents: DataFrame, items: DataFrame, languages: LanguageModel)
         shingles, language = shared.value
         hasher = _Hasher()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = prose_words(text, shingles, hasher)
-                if len(words) < LEAST_WORDS or language.tell(" ".join(words)) != "en":
-                    continue
-                counts = Counter(words)
-                n = len(words)
-                lengths = np.array([len(w) for w in words])
-                stats = [lengths.mean(), (lengths >= LONG).mean(), (lengths >= VERY_LONG).mean(), *[counts[w] / n for w in CLOSED]]
-                out.append((doc_id, n, list(counts), list(counts.values()), stats))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "words", "times", "stats"])
+            for low in range(0, len(batch), SLICE):
+                part, out = batch.iloc[low : low + SLICE], []
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+                    words = prose_words(text, shingles, hasher)
+                    if len(words) < LEAST_WORDS or language.tell(" ".join(words)) != "en":
+                        continue
+                    counts = Counter(words)
+                    n = len(words)
+                    lengths = np.array([len(w) for w in words])
+                    stats = [lengths.mean(), (lengths >= LONG).mean(), (lengths >= VERY_LONG).mean(), *[counts[w] / n for w in CLOSED]]
+                    out.append((doc_id, n, list(counts), list(counts.values()), stats))
+                yield pd.DataFrame(out, columns=["doc_id", "n", "words", "times", "stats"])
 
     rows = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND length(text) > 0")
     return rows.mapInPandas(profile, "doc_id long, n int, words array<string>, times array<int>, stats array<double>")
