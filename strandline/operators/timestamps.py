@@ -183,9 +183,9 @@ class TimestampDictionary:
     def lookup(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``utc_us``, NULL where the text denotes no instant.
 
-        Rows whose text denotes nothing need no partner, so placeholders,
-        however many rows repeat them, take no part in the join; the entries
-        that do repeat are spread by the planner's skew handling.
+        Entries that denote nothing are left out of the join's right side.
+        Texts that very many rows repeat are spread by the planner's skew
+        handling, which splits the rows and repeats the one entry.
         """
         known = self.entries().where(F.col("utc_us").isNotNull())
         known = known.select(*[F.col(k).alias(f"_{k}") for k in self.KEYS], F.col("utc_us"))
@@ -222,29 +222,40 @@ def normalise(
 UNIX_CLOCKS = {"unix_s": 1_000_000, "unix_ms": 1_000, "unix_us": 1, "unix_ns": 0.001}
 
 
-def clock_of(value: Column, start_system_s: Column, start_synced_s: Column, horizon_s: float = 86_400.0) -> Column:
-    """Clock a sensor time was read from: the recording's own clock
-    (``synced_s``), a Unix clock or seconds since the start (``relative_s``).
+def _clock_cases(value: Column, system_s: Column, synced_s: Column, horizon_s: float) -> list[tuple[str, Column, Column]]:
+    """(clock, condition, microseconds) in the order they are tried.
 
-    The clock is the one that puts the reading nearest to the recording's
-    start, within ``horizon_s``; NULL if none does or an input is missing.
+    A reading fits a clock if it falls within ``horizon_s`` from the start.
+    The recording's own clock and the seconds since its start can both fit;
+    then the nearer to the start holds. Unix clocks differ by their scale.
+    Plain comparisons only, so that nothing is built or computed twice.
     """
-    gaps = {"synced_s": value - start_synced_s, "relative_s": value + F.lit(0.0)}
-    gaps |= {k: value * (per / 1e6) - start_system_s for k, per in UNIX_CLOCKS.items()}
-    far = F.lit(float("inf"))
-    usable = {k: F.when((g > -1.0) & (g < horizon_s), F.abs(g)).otherwise(far) for k, g in gaps.items()}
-    nearest = F.least(*usable.values())
-    out = F.when(nearest == far, None)
-    for name, gap in usable.items():
-        out = out.when(gap == nearest, name)
+    near = lambda gap: (gap > -1.0) & (gap < horizon_s)
+    start = F.round(system_s * 1e6).cast("long")
+    own = value - synced_s
+    relative = near(value)
+    cases = [
+        ("synced_s", near(own) & ~(relative & (F.abs(value) < F.abs(own))), start + F.round(own * 1e6).cast("long")),
+        ("relative_s", relative & synced_s.isNotNull(), start + F.round(value * 1e6).cast("long")),
+    ]
+    for name, per in UNIX_CLOCKS.items():
+        cases.append((name, near(value * (per / 1e6) - system_s), F.round(value * float(per)).cast("long")))
+    return cases
+
+
+def clock_of(value: Column, start_system_s: Column, start_synced_s: Column, horizon_s: float = 86_400.0) -> Column:
+    """Clock a sensor time was read from: the recording's own clock
+    (``synced_s``), seconds since the start (``relative_s``) or a Unix clock;
+    NULL if none fits or an input is missing."""
+    out = F.when(value.isNull(), None)
+    for name, fits, _ in _clock_cases(value, start_system_s, start_synced_s, horizon_s):
+        out = out.when(fits, name)
     return out
 
 
-def clock_us(value: Column, clock: Column, start_system_s: Column, start_synced_s: Column) -> Column:
-    """UTC microseconds of a sensor reading on ``clock``."""
-    start = F.round(start_system_s * 1e6).cast("long")
-    out = F.when(clock == "synced_s", start + F.round((value - start_synced_s) * 1e6).cast("long"))
-    out = out.when(clock == "relative_s", start + F.round(value * 1e6).cast("long"))
-    for name, per in UNIX_CLOCKS.items():
-        out = out.when(clock == name, F.round(value * float(per)).cast("long"))
+def reading_us(value: Column, start_system_s: Column, start_synced_s: Column, horizon_s: float = 86_400.0) -> Column:
+    """UTC microseconds of a sensor reading, whatever clock it was read from."""
+    out = F.when(value.isNull() | start_system_s.isNull(), None)
+    for _, fits, us in _clock_cases(value, start_system_s, start_synced_s, horizon_s):
+        out = out.when(fits, us)
     return out

@@ -37,8 +37,8 @@ def foreign_clock_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = recordings(spark, sf_dir).select("recording_id", "start_time_system_s", "start_time_synced_s")
     value, system, synced = F.col("world_timestamp"), F.col("start_time_system_s"), F.col("start_time_synced_s")
     gaze = table(spark, sf_dir, "gaze_samples").select("sample_id", "recording_id", "world_timestamp").join(starts, "recording_id")
-    foreign = gaze.withColumn("clock", timestamps.clock_of(value, system, synced)).where("clock <> 'synced_s'")
-    us = timestamps.clock_us(value, F.col("clock"), system, synced)
+    foreign = gaze.where(timestamps.clock_of(value, system, synced) != "synced_s")
+    us = timestamps.reading_us(value, system, synced)
     return (
         foreign.select(
             F.lit("world_timestamp").alias("field_name"),
@@ -53,11 +53,9 @@ def foreign_clock_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every written time that denotes an instant, as Unix milliseconds."""
     book = timestamps.TimestampDictionary(spark)
-    found = []
-    for rows in (written_times(spark, sf_dir), foreign_clock_readings(spark, sf_dir)):
-        book.update(rows)
-        found.append(rows)
-    known = book.lookup(found[0].unionByName(found[1])).where("utc_us IS NOT NULL")
+    rows = written_times(spark, sf_dir).unionByName(foreign_clock_readings(spark, sf_dir))
+    book.update(rows)
+    known = book.lookup(rows).where("utc_us IS NOT NULL")
     return known.select("field_name", F.col("record_id").cast("long").alias("record_id"), timestamps.to_ms(F.col("utc_us")).alias("utc_ms"))
 
 
@@ -66,11 +64,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaze = table(spark, sf_dir, "gaze_samples").select("sample_id", "recording_id", "world_timestamp", "x_norm", "y_norm", "confidence")
     starts = recordings(spark, sf_dir).select("recording_id", "start_time_system_s", "start_time_synced_s")
     value, system, synced = F.col("world_timestamp"), F.col("start_time_system_s"), F.col("start_time_synced_s")
-    clock = timestamps.clock_of(value, system, synced)
     placed = gaze.join(starts, "recording_id", "left").select(
         "sample_id",
         "recording_id",
-        F.coalesce(timestamps.clock_us(value, clock, system, synced) / 1e6, value).alias("t"),
+        F.coalesce(timestamps.reading_us(value, system, synced) / 1e6, value).alias("t"),
         "x_norm",
         "y_norm",
         "confidence",

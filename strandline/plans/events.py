@@ -387,7 +387,7 @@ def set_ops(t: Tables) -> DataFrame:
     c, s = t.customer.select(F.col("c_nationkey").alias("k"), "c_acctbal"), t.supplier.select(F.col("s_nationkey").alias("k"), "s_acctbal")
     parts = {
         "both": c.where("c_acctbal > 5000").select("k").intersect(s.select("k")),
-        "left": c.select("k").exceptAll(c.select("k").limit(0)).distinct().subtract(s.where("s_acctbal > 5000").select("k")),
+        "left": c.select("k").subtract(s.where("s_acctbal > 5000").select("k")),
         "all": t.nation.select(F.col("n_regionkey").alias("k")).unionAll(t.region.select("r_regionkey")),
     }
     both, left, every = (df.select(F.lit(name).alias("part"), "k") for name, df in parts.items())
