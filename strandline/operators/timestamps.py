@@ -231,15 +231,17 @@ def _clock_cases(value: Column, system_s: Column, synced_s: Column, horizon_s: f
     Plain comparisons only, so that nothing is built or computed twice.
     """
     near = lambda gap: (gap > -1.0) & (gap < horizon_s)
-    start = F.round(system_s * 1e6).cast("long")
+    # floor(x + 0.5): rounding doubles by decimals costs several times as much
+    whole = lambda x: F.floor(x + 0.5)
+    start = whole(system_s * 1e6)
     own = value - synced_s
     relative = near(value)
     cases = [
-        ("synced_s", near(own) & ~(relative & (F.abs(value) < F.abs(own))), start + F.round(own * 1e6).cast("long")),
-        ("relative_s", relative & synced_s.isNotNull(), start + F.round(value * 1e6).cast("long")),
+        ("synced_s", near(own) & ~(relative & (F.abs(value) < F.abs(own))), start + whole(own * 1e6)),
+        ("relative_s", relative & synced_s.isNotNull(), start + whole(value * 1e6)),
     ]
     for name, per in UNIX_CLOCKS.items():
-        cases.append((name, near(value * (per / 1e6) - system_s), F.round(value * float(per)).cast("long")))
+        cases.append((name, near(value * (per / 1e6) - system_s), whole(value * float(per))))
     return cases
 
 
