@@ -1,10 +1,13 @@
 """Problem 6: defective prompt and response pairs.
 
 Openings of responses (their first ``OPENING`` words) are clustered by MinHash
-of five-word shingles, each candidate verified by exact Jaccard similarity. A
-cluster is a refusal template if it recurs across unrelated prompts and most
-of its openings decline in the first person; its members are refusals. Copies,
-languages and broken ends are told by one check each:
+of their words, each candidate verified by exact Jaccard similarity, so that
+variants of a wording meet. A cluster is a refusal template if it recurs across
+unrelated prompts and most of its openings decline in the first person; its
+members are refusals, also in words that no fixed form covers. A response that
+declines in a fixed form is one without a template too: stock phrases recur
+over as many prompts as refusals do, so that recurrence alone tells neither.
+Copies, languages and broken ends are told by one check each:
 
 * copy: the response without labels and quotes is the question, once or twice,
   nearly unchanged;
@@ -30,11 +33,15 @@ from pyspark.sql import functions as F
 
 from strandline.session import stage
 
-OPENING = 8
-SHINGLE = 5
+#: An opening is compared as a set of words, so that from nine words on a
+#: similarity of 0.8 allows a word in another's place.
+OPENING = 16
 SIMILARITY = 0.8
-HASHES = 16
-BAND_ROWS = 4
+#: Eight bands of three: two openings at 0.8 share a bucket with a probability of 0.997.
+HASHES = 24
+BAND_ROWS = 3
+#: Words at a text's start that are read for a declining form.
+HEAD = 16
 #: Documents (of smallest hash) that the language classifier is fitted on.
 SAMPLE = 4_000
 LANGUAGES = ("en", "de", "es", "fr", "nl")
@@ -143,36 +150,28 @@ def declines(opening: Column) -> Column:
 # ----------------------------------------------------------- opening clusters
 
 
-def _signature(shingles: Column, i: int) -> Column:
-    return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(i))))
+def _signature(words: Column, i: int) -> Column:
+    return F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(i))))
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster): distinct openings (arrays of words as ``opening``)
-    with the smallest opening they are verified to be like.
+    """(opening, cluster): distinct openings (arrays of words as ``opening``,
+    used ``n`` times) with every head they are verified to be like.
 
-    Openings in one band bucket are compared with the bucket's smallest one
-    only, so a bucket of n costs n comparisons and none is left out.
+    Openings in one band bucket are compared with the bucket's most used one
+    (its head, the smaller one of equals) only, so a bucket of n costs n
+    comparisons. An opening lies in the cluster of each head it is like.
     """
-    sets = openings.select("opening").distinct().withColumn(
-        "shingles",
-        F.array_distinct(
-            F.when(
-                F.size("opening") >= SHINGLE,
-                F.transform(F.sequence(F.lit(1), F.size("opening") - SHINGLE + 1), lambda i: F.array_join(F.slice("opening", i, SHINGLE), " ")),
-            ).otherwise(F.array(F.array_join("opening", " ")))
-        ),
-    )
-    signed = sets.withColumn("sig", F.array(*[_signature(F.col("shingles"), i) for i in range(HASHES)]))
+    sets = openings.select("opening", "n").withColumn("words", F.array_distinct("opening"))
+    signed = sets.withColumn("sig", F.array(*[_signature(F.col("words"), i) for i in range(HASHES)]))
     bands = F.array(
         *[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * BAND_ROWS + 1, BAND_ROWS)).alias("key")) for b in range(HASHES // BAND_ROWS)]
     )
-    keyed = signed.select("opening", "shingles", F.explode(bands).alias("bucket"))
-    heads = keyed.groupBy("bucket").agg(F.min(F.struct("opening", "shingles")).alias("head"))
-    common = F.size(F.array_intersect("shingles", "head.shingles"))
-    like = common / (F.size("shingles") + F.size("head.shingles") - common)
-    matched = keyed.join(heads, "bucket").where(like >= SIMILARITY)
-    return matched.groupBy("opening").agg(F.min("head.opening").alias("cluster"))
+    keyed = signed.select("opening", "words", F.explode(bands).alias("bucket"), (-F.col("n")).alias("rank"))
+    heads = keyed.groupBy("bucket").agg(F.min(F.struct("rank", "opening", "words")).alias("head"))
+    common = F.size(F.array_intersect("words", "head.words"))
+    like = common / (F.size("words") + F.size("head.words") - common)
+    return keyed.join(heads, "bucket").where(like >= SIMILARITY).select("opening", F.col("head.opening").alias("cluster")).distinct()
 
 
 # ------------------------------------------------------------------ language
@@ -275,7 +274,7 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: LanguageM
         "*",
         without_frame(text).alias("bare"),
         without_frame(F.col("plain_question")).alias("bare_question"),
-        F.array_join(F.slice(F.split(text, " ", 2 * OPENING + 1), 1, 2 * OPENING), " ").alias("head"),
+        F.array_join(F.slice(F.split(text, " ", HEAD + 1), 1, HEAD), " ").alias("head"),
         _tail(text).alias("tail"),
     )
     early = F.when(is_empty(text), "empty").when(is_error(text), "error").when(is_copy(F.col("bare"), F.col("bare_question")), "copy")
@@ -310,7 +309,7 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: LanguageM
         F.sum("n").alias("n"), F.sum("declined").alias("declined"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     templates = stats.where("2 * declined >= n AND lo <> hi").select("cluster")
-    refusing = stage(clusters.join(templates, "cluster", "left_semi").select("opening", F.lit(True).alias("template")), "templates")
+    refusing = stage(clusters.join(templates, "cluster", "left_semi").select("opening").distinct().withColumn("template", F.lit(True)), "templates")
 
     questions = answers.select("question").where("question IS NOT NULL").distinct().withColumn("asked_in", asked_language("question"))
     ends = stage(sentence_ends(answers.select("text")).select(F.col("word").alias("last_word"), F.lit(True).alias("final")), "ends")

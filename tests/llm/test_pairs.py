@@ -45,3 +45,9 @@ def test_null_question_long_text_and_empty_table(spark, languages):
 def test_extra_columns(spark, languages):
     df = spark.createDataFrame([("t", 1, "q", None, 5, "x")], f"{SCHEMA}, early int, opening string")
     assert [tuple(r) for r in defective_pairs(df, None, languages).collect()] == [("t", 1, "empty")]
+
+
+def test_template_variant_without_fixed_form(spark, languages):
+    known = "My guidelines do not allow me to comment on what private persons intend."
+    cases = [(q, known) for q in QUESTIONS[:4]] + [(QUESTIONS[5], known.replace("My", "Our")), (QUESTIONS[0], "The guidelines of the group allow them to comment on what private persons intend.")]
+    assert run(spark, languages, cases) == ["refusal"] * 5 + [None]
