@@ -73,16 +73,20 @@ def all_siblings(df: DataFrame, key: str, member: str, wanted: list) -> DataFram
     return held.where(F.col("_n") == len(wanted)).select(key)
 
 
-def aligned_sequences(left: DataFrame, right: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
-    """Element pairs of sequences whose ordered index lists are identical."""
+def aligned_sequences(left: DataFrame, right: DataFrame, keys: list[str], index: str, value: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Element pairs of sequences whose ordered index lists are identical.
 
-    def gathered(df: DataFrame, name: str) -> DataFrame:
+    ``kept`` names further columns of ``right`` that tell its sequences apart
+    (a label, say): each left sequence meets all of them, and they stay in the output.
+    """
+
+    def gathered(df: DataFrame, by: list[str], name: str) -> DataFrame:
         items = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias(name)
-        return df.where(F.col(index).isNotNull()).groupBy(*keys).agg(items)
+        return df.where(F.col(index).isNotNull()).groupBy(*by).agg(items)
 
-    both = gathered(left, "_a").join(gathered(right, "_b"), keys).where(F.col("_a.i") == F.col("_b.i"))
-    pairs = both.select(*keys, F.explode(F.arrays_zip("_a", "_b")).alias("z"))
-    return pairs.select(*keys, F.col("z._a.i").alias(index), F.col("z._a.v").alias("left_value"), F.col("z._b.v").alias("right_value"))
+    both = gathered(left, keys, "_a").join(gathered(right, [*kept, *keys], "_b"), keys).where(F.col("_a.i") == F.col("_b.i"))
+    pairs = both.select(*kept, *keys, F.explode(F.arrays_zip("_a", "_b")).alias("z"))
+    return pairs.select(*kept, *keys, F.col("z._a.i").alias(index), F.col("z._a.v").alias("left_value"), F.col("z._b.v").alias("right_value"))
 
 
 def positional_join(left: DataFrame, right: DataFrame, keys: list[str], left_items: str, right_items: str) -> DataFrame:

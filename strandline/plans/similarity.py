@@ -209,6 +209,8 @@ def _clips(t: Tables) -> DataFrame:
 
 
 SEQUENCE = ["model_label", "prompt_name", "dataset_name", "utt_count", "prefix"]
+#: The model whose sequences all others are aligned with.
+REFERENCE_MODEL = "vidlm-base"
 
 
 @catalog.add(
@@ -252,6 +254,22 @@ def aligned_sequences(t: Tables) -> DataFrame:
     return matching.aligned_sequences(a, b, keys, "idx", "id")
 
 
+@catalog.add(
+    f"""{_CLIPS_SQL}, d AS (SELECT model_label, prompt_name, dataset_name, utt_count, prefix, idx, min(result_id) AS id FROM c WHERE idx IS NOT NULL GROUP BY ALL),
+    s AS (SELECT model_label, prompt_name, dataset_name, utt_count, prefix, list(idx ORDER BY idx) AS ids, list(id ORDER BY idx) AS vals FROM d GROUP BY ALL)
+    SELECT b.model_label, b.prompt_name, b.dataset_name, b.utt_count, b.prefix, unnest(a.ids) AS idx, unnest(a.vals) AS left_value, unnest(b.vals) AS right_value
+    FROM s a JOIN s b ON a.prompt_name = b.prompt_name AND a.dataset_name = b.dataset_name AND a.utt_count = b.utt_count AND a.prefix = b.prefix
+    WHERE a.model_label = 'vidlm-base' AND b.model_label <> 'vidlm-base' AND a.ids = b.ids"""
+)
+def aligned_models(t: Tables) -> DataFrame:
+    """Clips of the reference model's sequences and of every other model's with
+    identical index lists, element by element."""
+    once = _clips(t).groupBy(*SEQUENCE, "idx").agg(F.min("result_id").alias("id"))
+    a = once.where(F.col("model_label") == REFERENCE_MODEL).drop("model_label")
+    b = once.where(F.col("model_label") != REFERENCE_MODEL)
+    return matching.aligned_sequences(a, b, SEQUENCE[1:], "idx", "id", kept=("model_label",))
+
+
 @catalog.add(
     f"""{_CLIPS_SQL}, h AS (SELECT DISTINCT prompt_name, dataset_name, utt_count, prefix FROM c WHERE prefix <> ''),
     l AS (SELECT DISTINCT model_label FROM c),
@@ -271,6 +289,23 @@ def model_coverage(t: Tables) -> DataFrame:
     return with_all.select("model_label", "pairs", "present", (F.col("pairs") - F.col("present")).alias("missing"))
 
 
+@catalog.add(
+    f"""{_CLIPS_SQL}, p AS (SELECT DISTINCT model_label, prompt_name, dataset_name, utt_count, prefix FROM c WHERE prefix <> ''),
+    h AS (SELECT DISTINCT prompt_name, dataset_name, utt_count, prefix FROM p),
+    l AS (SELECT DISTINCT model_label FROM c WHERE model_label IS NOT NULL)
+    SELECT l.model_label, h.* FROM h CROSS JOIN l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.model_label = l.model_label
+      AND p.prompt_name IS NOT DISTINCT FROM h.prompt_name AND p.dataset_name IS NOT DISTINCT FROM h.dataset_name
+      AND p.utt_count IS NOT DISTINCT FROM h.utt_count AND p.prefix = h.prefix)"""
+)
+def missing_sequences(t: Tables) -> DataFrame:
+    """Each sequence some model answered with every model that lacks it."""
+    rows = _clips(t).where("prefix IS NOT NULL").select(*SEQUENCE).distinct()
+    labels = t.clip_results.agg(F.collect_set("model_label").alias("labels"))
+    wanted = rows.drop("model_label").distinct().withColumn("model_label", F.explode(labels.scalar())).alias("w")
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"p.{k}")) for k in SEQUENCE]
+    return wanted.join(rows.alias("p"), same, "left_anti").select(*SEQUENCE)
+
+
 @catalog.add(
     """WITH c AS (SELECT DISTINCT ON (comparison_id) * FROM clip_comparisons), r AS (SELECT DISTINCT ON (result_id) * FROM clip_results)
     SELECT c.comparison_id, r.result_id, c.model_label = r.model_label AS same_model, c.text_equal FROM (
