@@ -74,6 +74,22 @@ def interval_join(t: Tables) -> DataFrame:
     return rows.select("user_id", "event_id", (F.col("t") - F.col("s")).alias("offset_us"))
 
 
+@catalog.add(
+    """WITH i AS (SELECT user_id, event_id AS signup_id, epoch_us(ts) AS s FROM events WHERE event_type = 'signup'),
+    e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type <> 'signup' AND value >= 1.0)
+    SELECT i.user_id, i.signup_id, e.event_id, e.t - i.s AS offset_us FROM i JOIN e ON e.user_id = i.user_id AND e.t BETWEEN i.s AND i.s + 86400000000"""
+)
+def signup_intervals(t: Tables) -> DataFrame:
+    """Events of a user within a day from each sign-up, both ends included;
+    an event in several intervals comes out with each."""
+    day = 86_400_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    signups = t.events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup_id"), at.alias("s")).withColumn("e", F.col("s") + day)
+    others = t.events.where("event_type <> 'signup' AND value >= 1.0").select("user_id", "event_id", at.alias("t"))
+    rows = matching.interval_join(signups, others, ["user_id"], "s", "e", "t", float(day))
+    return rows.select("user_id", "signup_id", "event_id", (F.col("t") - F.col("s")).alias("offset_us"))
+
+
 @catalog.add(
     """WITH f AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'),
     p AS (SELECT user_id, epoch_us(ts) AS t, min(event_id) AS v FROM events WHERE event_type = 'click' GROUP BY ALL),
