@@ -753,6 +753,22 @@ def basic_filters(t: Tables) -> DataFrame:
     return conform(rows.withColumn("price", F.floor("o_totalprice")), schema, "o_orderkey")
 
 
+@catalog.add(
+    """SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS customer, CAST(floor(o_totalprice) AS BIGINT) AS price, CAST(NULL AS VARCHAR) AS note
+    FROM orders WHERE o_orderstatus IN ('F', 'O') AND NOT contains(o_orderpriority, 'LOW')"""
+)
+def order_filters(t: Tables) -> DataFrame:
+    """Value list and excluded substring over all orders, then a typed projection."""
+    from pyspark.sql import types as T
+
+    from strandline.operators.annotations import conform
+
+    rows = t.orders.where(F.col("o_orderstatus").isin("F", "O"))
+    rows = rows.where(~matching.any_of([F.col("o_orderpriority").contains("LOW")])).withColumnsRenamed({"o_custkey": "customer"})
+    schema = T.StructType([T.StructField("customer", T.IntegerType()), T.StructField("price", T.LongType()), T.StructField("note", T.StringType())])
+    return conform(rows.withColumn("price", F.floor("o_totalprice")), schema, "o_orderkey")
+
+
 @catalog.add(
     """WITH g AS (SELECT interaction_id, utterance_id, speaker_role, start_s FROM (SELECT DISTINCT ON (utterance_id) * FROM utterances) WHERE start_s IS NOT NULL)
     SELECT utterance_id, CAST(ceil(start_s / 120) AS BIGINT) AS segment, row_number() OVER (PARTITION BY interaction_id, CAST(ceil(start_s / 120) AS BIGINT) ORDER BY start_s, utterance_id) AS place FROM g"""

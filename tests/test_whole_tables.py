@@ -33,3 +33,9 @@ def test_every_signup_opens_an_interval(spark):
     got = entry.queries()["signup_intervals"](spark, DATA)
     assert sorted((r["signup_id"], r["event_id"]) for r in got.collect()) == wanted
     assert got.count() > entry.queries()["interval_join"](spark, DATA).count()
+
+
+def test_filters_read_every_order(spark):
+    orders = table(spark, DATA, "orders").where("o_orderstatus IN ('F', 'O') AND o_orderpriority NOT LIKE '%LOW%'").select("o_orderkey").collect()
+    got = entry.queries()["order_filters"](spark, DATA).select("o_orderkey").collect()
+    assert sorted(got) == sorted(orders)
