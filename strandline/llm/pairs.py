@@ -1,23 +1,28 @@
 """Problem 6: defective prompt and response pairs.
 
-Openings of responses (their first ``OPENING`` words) are clustered by MinHash
-of their words, each candidate verified by exact Jaccard similarity, so that
-variants of a wording meet. A cluster is a refusal template if it recurs across
-unrelated prompts and most of its openings decline in the first person; its
-members are refusals, also in words that no fixed form covers. A response that
-declines in a fixed form is one without a template too: stock phrases recur
-over as many prompts as refusals do, so that recurrence alone tells neither.
-Copies, languages and broken ends are told by one check each:
+Refusals are told by templates. Openings of responses (their first ``OPENING``
+words outside quotes, and those of the first later sentence that speaks in the
+first person) are clustered by MinHash of their words, each candidate verified
+by exact Jaccard similarity. A cluster that recurs over unrelated prompts
+(prompts of different clusters) is a template. That a template recurs does not
+tell a refusal from a stock phrase, so the templates most of whose openings
+speak in the first person and deny something are the seeds, and word weights
+(log odds of a word in seed openings against those not in the first person,
+counted over all openings) are learned from them. The members of a seed are refusals, and so is every other
+opening in the first person whose words weigh enough. Copies, languages and broken ends are told
+by one check each:
 
 * copy: the response without labels and quotes is the question, once or twice,
   nearly unchanged;
 * language: a trigram classifier trained on labelled documents names another
-  language for the response than for its question;
+  language for the response than for its question; a question too short to
+  name has the language that most of its answers share;
 * termination: a response without a closing stop ends in a word that, over all
   responses, hardly ever ends a sentence, or in a piece of a word.
 
-Statistics (clusters, sentence ends) are counted over all pairs; only the
-language classifier is fitted on a bounded sample.
+Statistics (clusters, word weights, languages of a question's answers, sentence
+ends) are counted over all pairs; only the language classifier is fitted on a
+bounded sample.
 """
 
 from __future__ import annotations
@@ -40,8 +45,8 @@ SIMILARITY = 0.8
 #: Eight bands of three: two openings at 0.8 share a bucket with a probability of 0.997.
 HASHES = 24
 BAND_ROWS = 3
-#: Words at a text's start that are read for a declining form.
-HEAD = 16
+#: Summed log odds from which an opening's words are those of a refusal.
+REFUSAL_WEIGHT = math.log(1_000)
 #: Documents (of smallest hash) that the language classifier is fitted on.
 SAMPLE = 4_000
 LANGUAGES = ("en", "de", "es", "fr", "nl")
@@ -73,24 +78,15 @@ ERROR_FORMS = (
     r"^\W*(fatal|exception|failed)\s*:",
     r"^\W*segmentation fault",
 )
-# First-person declining in the five languages.
-DECLINES = (
-    r"\bi (cannot|can not|can't|could not|couldn't|won't|will not|am unable|am not able|am not allowed|must decline|have to decline|don't feel comfortable|do not feel comfortable)\b",
-    r"\bi'm (not able|unable|not allowed|not comfortable|sorry,? (but )?i)\b",
-    r"\b(something|a request|one) i (have to|must) (decline|refuse)\b",
-    r"\bi am (unable|not able|not permitted|not allowed)\b",
-    r"\bnot be appropriate for me\b",
-    r"\b(my|the) (guidelines|rules|policy|policies) (do|does) not (allow|permit)\b",
-    r"\bas an? (ai|language|artificial)\b.*\bnot\b",
-    r"\bals (ki|sprachmodell)\b.*\b(nicht|keine)\b",
-    r"\b(ich (kann|darf)|darf ich|kann ich)\b.*\b(nicht|keine)\b",
-    r"\btut mir leid,? aber\b",
-    r"\bno puedo (ayudar|responder|describir|identificar|contestar|comentar)\b|\blo siento,? pero no\b",
-    r"\bno me est[aá] permitido\b|\bcomo modelo de (lenguaje|ia)\b",
-    r"\bje (ne peux|ne suis) pas\b.*\b(aider|r[eé]pondre|d[eé]crire|en mesure|autoris)",
-    r"\b(ik kan|ik mag|kan ik|mag ik)\b.*\b(niet|geen)\b.*\b(helpen|beantwoorden|beschrijven)\b",
-    r"\bals taalmodel\b|\bnon posso\b|\ben tant que mod[eè]le\b",
-)
+# Closed-class words by which a speaker names itself, and by which something is denied, in the five languages.
+SELF = (
+    "i i'm i'd i've i'll me my our we ich mir mich mein meine meiner meinen meinem meines bin darf kann "
+    "yo me mi mis puedo siento je j'ai mon ma mes moi suis ik mij mijn"
+).split()
+DENY = (
+    "not no never cannot can't couldn't won't wouldn't don't isn't unable decline refuse nicht kein keine keinen keiner "
+    "nunca ne pas jamais niet geen nooit"
+).split()
 
 
 # straight forms of curly apostrophes and quotes; blanks for invisible signs
@@ -142,9 +138,25 @@ def is_copy(text: Column, question: Column) -> Column:
     return F.coalesce((F.length(question) > 0) & (like(text, question) | like(text, F.concat_ws(" ", question, question))), F.lit(False))
 
 
-def declines(opening: Column) -> Column:
-    """The opening declines in the first person, outside quotes."""
-    return F.regexp_replace(opening, r'"[^"]*("|$)', " ").rlike("|".join(DECLINES))
+def outside_quotes(text: Column) -> Column:
+    return F.regexp_replace(text, r'"[^"]*("|$)', " ")
+
+
+def opening_of(text: Column) -> Column:
+    """The first ``OPENING`` words of a plain text."""
+    head = F.array_join(F.slice(F.split(F.trim(text), r"\s+", 2 * OPENING + 1), 1, 2 * OPENING), " ")
+    return F.slice(words_of(head), 1, OPENING)
+
+
+def later_first_person(outside: Column) -> Column:
+    """From the first sentence after the first that speaks in the first person; NULL without one."""
+    person = r"\b(?:" + "|".join(SELF) + r")\b"
+    later = F.regexp_extract(outside, rf"[.!?:;]\s([^.!?:;]*{person}.*)$", 1)
+    return F.when(outside.rlike(person), F.nullif(later, F.lit("")))
+
+
+def _any_of(words: Column, listed: list[str]) -> Column:
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in listed]))
 
 
 # ----------------------------------------------------------- opening clusters
@@ -170,10 +182,36 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
     keyed = signed.select("opening", "words", F.explode(bands).alias("bucket"), (-F.col("n")).alias("rank"))
     heads = keyed.groupBy("bucket").agg(F.min(F.struct("rank", "opening", "words")).alias("head"))
     common = F.size(F.array_intersect("words", "head.words"))
-    like = common / (F.size("words") + F.size("head.words") - common)
+    like = F.try_divide(common, F.size("words") + F.size("head.words") - common)
     return keyed.join(heads, "bucket").where(like >= SIMILARITY).select("opening", F.col("head.opening").alias("cluster")).distinct()
 
 
+def refusing_openings(openings: DataFrame) -> DataFrame:
+    """(key,) of the ``openings`` (key, opening, n, and the least and the
+    greatest prompt cluster ``lo`` and ``hi`` they answer) that are refusals."""
+    clusters = stage(opening_clusters(openings), "clusters")
+    own, denies = _any_of(F.col("opening"), SELF), _any_of(F.col("opening"), DENY)
+    marked = clusters.join(openings.withColumn("declines", own & denies), "opening")
+    templates = marked.groupBy("cluster").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("declined"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    templates = stage(templates.where("lo <> hi").select("cluster", (2 * F.col("declined") >= F.col("n")).alias("seed")), "templates")
+    members = clusters.join(templates, "cluster").groupBy("opening").agg(F.bool_or("seed").alias("seed"))
+    members = stage(openings.select("key", "opening").join(members, "opening", "left").withColumn("own", own), "members")
+
+    # what is undecided teaches neither side
+    known = members.where("seed OR NOT own").select("opening", F.coalesce("seed", F.lit(False)).alias("seed"))
+    words = known.select(F.explode(F.array_distinct("opening")).alias("word"), "seed")
+    counted = words.groupBy("word").agg(F.count_if("seed").alias("in_seeds"), F.count_if(~F.col("seed")).alias("elsewhere"))
+    sizes = known.agg(F.count_if("seed").alias("r"), F.count_if(~F.col("seed")).alias("o"))
+    total = sizes.select(F.log((F.col("o") + 1) / (F.col("r") + 1))).scalar()
+    weights = counted.select("word", (F.log((F.col("in_seeds") + 0.5) / (F.col("elsewhere") + 0.5)) + total).alias("weight"))
+    # what does not speak in the first person is no refusal, whatever its words
+    asked = members.where("NOT coalesce(seed, false) AND own").select("key", F.explode(F.array_distinct("opening")).alias("word"))
+    heavy = asked.join(weights, "word").groupBy("key").agg(F.sum("weight").alias("weight")).where(F.col("weight") > REFUSAL_WEIGHT).select("key")
+    return members.where("seed").select("key").unionByName(heavy)
+
+
 # ------------------------------------------------------------------ language
 
 
@@ -181,6 +219,14 @@ class LanguageModel:
     """Naive Bayes over letter trigrams of words."""
 
     def __init__(self, texts: list[str], labels: list[str]):
+        self._fit(texts, labels)
+        # labels may be wrong: fit again on the texts that the first fit reads as labelled
+        told = self.tell_words([self.words_of(t) for t in texts], 0.0)
+        kept = [i for i, (a, b) in enumerate(zip(told, labels, strict=True)) if a in (b, None)]
+        if len({labels[i] for i in kept}) == len(set(labels)):
+            self._fit([texts[i] for i in kept], [labels[i] for i in kept])
+
+    def _fit(self, texts: list[str], labels: list[str]) -> None:
         counts = {k: Counter() for k in LANGUAGES}
         for text, label in zip(texts, labels, strict=True):
             counts[label].update(self.trigrams(text))
@@ -188,34 +234,59 @@ class LanguageModel:
         total = np.array([sum(c[g] for g in kept) + 0.5 * len(kept) + 1 for c in counts.values()])
         self.weights = {g: np.log((np.array([c[g] for c in counts.values()]) + 0.5) / total) for g in kept}
         self.rare = np.log(0.5 / total)
-        self.words: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the kept word scores (rows of ``scores``: one per language, then the letters)."""
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(LANGUAGES) + 1))
 
     @staticmethod
-    def trigrams(text: str) -> list[str]:
+    def words_of(text: str) -> list[str]:
+        return re.findall(r"[^\W\d_]+", text.lower())
+
+    @classmethod
+    def trigrams(cls, text: str) -> list[str]:
         out = []
-        for word in re.findall(r"[^\W\d_]+", text.lower()):
+        for word in cls.words_of(text):
             padded = f" {word} "
             out += [padded[i : i + 3] for i in range(len(padded) - 2)]
         return out
 
+    def _learn(self, word: str) -> int:
+        at = self.known[word] = len(self.known)
+        if at == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[at, :-1] = sum((self.weights.get(g, self.rare) for g in self.trigrams(word)), np.zeros(len(LANGUAGES)))
+        self.scores[at, -1] = len(word)
+        return at
+
+    def tell_words(self, rows: list[list[str]], margin: float = MARGIN) -> list[str | None]:
+        """Language of each list of lower-case words; None if it has too few
+        letters or another language is too near."""
+        if len(self.known) > 200_000:
+            self.forget()
+        known = self.known
+        flat = [known[w] if w in known else self._learn(w) for row in rows for w in row]
+        sizes = np.array([len(row) for row in rows], dtype=np.int64)
+        out = np.full(len(rows), None, dtype=object)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            sums = np.add.reduceat(self.scores[np.array(flat)], np.cumsum(sizes[full]) - sizes[full], axis=0)
+            ranked = np.sort(sums[:, :-1], axis=1)
+            sure = (sums[:, -1] >= LETTERS_TOLD) & (ranked[:, -1] - ranked[:, -2] > margin)
+            out[full[sure]] = np.array(LANGUAGES, dtype=object)[sums[sure, :-1].argmax(1)]
+        return out.tolist()
+
+    def tell_all(self, texts: pd.Series, margin: float = MARGIN) -> pd.Series:
+        """Language of each text, in slices of bounded size."""
+        out: list[str | None] = []
+        for low in range(0, len(texts), 1024):
+            out += self.tell_words([self.words_of(t) if isinstance(t, str) else [] for t in texts.iloc[low : low + 1024]], margin)
+        return pd.Series(out, dtype=object)
+
     def tell(self, text: str | None, margin: float = MARGIN) -> str | None:
-        """Language of a text; None if it has too few letters or another is too near."""
-        if not text:
-            return None
-        if len(self.words) > 200_000:
-            self.words.clear()
-        parts, grams = [], 0
-        for word in re.findall(r"[^\W\d_]+", text.lower()):
-            score = self.words.get(word)
-            if score is None:
-                score = self.words[word] = sum((self.weights.get(g, self.rare) for g in self.trigrams(word)), np.zeros(len(LANGUAGES)))
-            parts.append(score)
-            grams += len(word)
-        if grams < LETTERS_TOLD:
-            return None
-        score = np.sum(parts, axis=0)
-        best = np.sort(score)
-        return LANGUAGES[int(score.argmax())] if best[-1] - best[-2] > margin else None
+        return self.tell_words([self.words_of(text or "")], margin)[0]
 
 
 def fit_languages(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -260,11 +331,7 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: LanguageM
 
     @F.pandas_udf("string")
     def language(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: model.value.tell(t) if isinstance(t, str) else None)
-
-    @F.pandas_udf("string")
-    def asked_language(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: model.value.tell(t, 0.0) if isinstance(t, str) else None)
+        return model.value.tell_all(text)
 
     rows = pairs.select("pair_table", "pair_id", "question", "text").where("pair_id IS NOT NULL").dropDuplicates(["pair_table", "pair_id"])
     # each form of a text is a column of its own, so that it is made once
@@ -274,62 +341,69 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: LanguageM
         "*",
         without_frame(text).alias("bare"),
         without_frame(F.col("plain_question")).alias("bare_question"),
-        F.array_join(F.slice(F.split(text, " ", HEAD + 1), 1, HEAD), " ").alias("head"),
+        outside_quotes(text).alias("outside"),
         _tail(text).alias("tail"),
     )
     early = F.when(is_empty(text), "empty").when(is_error(text), "error").when(is_copy(F.col("bare"), F.col("bare_question")), "copy")
-    head, tail = F.col("head"), F.col("tail")
+    rows = rows.withColumn("early", early)
+    tail, outside = F.col("tail"), F.col("outside")
+    late = later_first_person(outside)
     # everything that is read from a text alone is read once and written
     read = stage(
         rows.select(
             "pair_table",
             "pair_id",
-            early.alias("early"),
+            "early",
             F.xxhash64("question").alias("asked"),
             "question",
             text.alias("text"),
-            F.slice(words_of(head), 1, OPENING).alias("opening"),
-            declines(head).alias("declines"),
+            opening_of(outside).alias("opening"),
+            F.when(late.isNotNull(), opening_of(late)).alias("late"),
             F.regexp_extract(F.substring(tail, -80, 80), r"([\p{L}\p{N}']+)\W*$", 1).alias("last_word"),
             (tail.rlike(CUT_MARKS) | tail.rlike(r"\p{L}-$")).alias("cut"),
             (tail.rlike(r"[.!?\u2026:;\u3002]$|[:;][-']?[)(dp]$") & ~tail.rlike(r"(\.\.\.|\u2026)$")).alias("stopped"),
-            language("raw").alias("answered_in"),
+            language(F.when(F.col("early").isNull(), F.col("raw"))).alias("answered_in"),
         ),
         "pairs",
     )
     answers = read.where("early IS NULL")
 
-    # two different prompts at least: the smallest and the largest hash differ
-    by_opening = answers.groupBy("opening").agg(
-        F.count("*").alias("n"), F.sum(F.col("declines").cast("int")).alias("declined"), F.min("asked").alias("lo"), F.max("asked").alias("hi")
-    )
-    by_opening = stage(by_opening, "openings")
-    clusters = stage(opening_clusters(by_opening), "clusters")
-    stats = clusters.join(by_opening, "opening").groupBy("cluster").agg(
-        F.sum("n").alias("n"), F.sum("declined").alias("declined"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    templates = stats.where("2 * declined >= n AND lo <> hi").select("cluster")
-    refusing = stage(clusters.join(templates, "cluster", "left_semi").select("opening").distinct().withColumn("template", F.lit(True)), "templates")
+    asked = answers.where("question IS NOT NULL").groupBy("asked").agg(F.first("question").alias("question"))
+    asked = stage(asked.withColumn("named", language("question")), "questions")
+    # prompts alike lie in one cluster; one without words is in none
+    prompt_words = asked.select("asked", F.array_distinct(words_of(plain(F.col("question")))).alias("opening"))
+    prompts = prompt_words.groupBy("opening").agg(F.count("*").alias("n"))
+    prompts = opening_clusters(prompts).groupBy("opening").agg(F.min(F.xxhash64("cluster")).alias("prompt"))
+    prompts = stage(prompt_words.join(prompts, "opening").select("asked", "prompt"), "prompts")
+    votes = answers.where("answered_in IS NOT NULL").groupBy("asked", "answered_in").agg(F.count("*").alias("n"))
+    votes = votes.groupBy("asked").agg(F.max_by("answered_in", F.struct("n", "answered_in")).alias("most"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    voted = F.when(2 * F.col("n") > F.col("all"), F.col("most"))
+    languages_asked = stage(asked.join(votes, "asked", "left").select("asked", F.coalesce("named", voted).alias("asked_in")), "asked-in")
+
+    keyed = answers.select("asked", F.explode(F.array_compact(F.array("opening", "late"))).alias("opening")).where(F.size("opening") > 0)
+    keyed = keyed.groupBy("opening", "asked").agg(F.count("*").alias("n")).join(prompts, "asked", "left")
+    by_opening = keyed.groupBy("opening").agg(F.sum("n").alias("n"), F.min("prompt").alias("lo"), F.max("prompt").alias("hi"))
+    by_opening = stage(by_opening.withColumn("key", F.xxhash64("opening")), "openings")
+    refusing = stage(refusing_openings(by_opening).distinct(), "refusing")
 
-    questions = answers.select("question").where("question IS NOT NULL").distinct().withColumn("asked_in", asked_language("question"))
     ends = stage(sentence_ends(answers.select("text")).select(F.col("word").alias("last_word"), F.lit(True).alias("final")), "ends")
     # only answers without a closing stop can be cut, and only those need more statistics
     open_ended = ~F.col("stopped") & (F.col("last_word") != "")
     whole = answers.where(open_ended).groupBy(F.xxhash64("text").alias("text_hash")).agg(F.approx_count_distinct("asked", 0.02).alias("prompts"))
     whole = whole.where(F.col("prompts") >= RECURS).select("text_hash", F.lit(True).alias("recurs"))
     told = (
-        answers.withColumn("text_hash", F.xxhash64("text"))
-        .drop("text")
-        .join(refusing, "opening", "left")
-        .join(stage(questions, "questions"), "question", "left")
+        answers.select("pair_table", "pair_id", "asked", "last_word", "cut", "stopped", "answered_in", F.xxhash64("text").alias("text_hash"), F.xxhash64("opening").alias("key"), F.when(F.col("late").isNotNull(), F.xxhash64("late")).alias("late_key"))
+        .join(refusing.withColumn("refuses", F.lit(True)), "key", "left")
+        .join(refusing.select(F.col("key").alias("late_key"), F.lit(True).alias("refuses_late")), "late_key", "left")
+        .join(languages_asked, "asked", "left")
         .join(whole, "text_hash", "left")
         .join(ends, "last_word", "left")
     )
     broken = F.col("cut") | (open_ended & F.col("final").isNull() & F.col("recurs").isNull())
     defect = (
-        F.when(F.col("template").isNotNull() | F.col("declines"), "refusal")
+        F.when(F.col("refuses") | F.col("refuses_late"), "refusal")
         .when(F.col("asked_in") != F.col("answered_in"), "other_language")
         .when(broken, "truncated")
     )
-    late = told.withColumn("defect", defect).where("defect IS NOT NULL").select("pair_table", "pair_id", "defect")
-    return read.where("early IS NOT NULL").select("pair_table", "pair_id", F.col("early").alias("defect")).unionByName(late)
+    found = told.withColumn("defect", defect).where("defect IS NOT NULL").select("pair_table", "pair_id", "defect")
+    return read.where("early IS NOT NULL").select("pair_table", "pair_id", F.col("early").alias("defect")).unionByName(found)

@@ -7,13 +7,20 @@ SCHEMA = "pair_table string, pair_id bigint, question string, text string"
 GOOD = "The speaker wants to close the meeting because the room has gone quiet. The others will probably react by leaving the room"
 
 
+REFUSALS = ("My guidelines do not allow me to comment on private persons.", "I cannot answer this question, please ask me something else.", "I'm sorry, but I can't describe the people in this video.", "Unfortunately, I am not able to help you with that request.")
+
+
 def run(spark, languages, cases):
     rows = [("t", i, q, t) for i, (q, t) in enumerate(cases)]
+    # refusals that recur over prompts, from which the words of refusals are learned
+    rows += [("r", 100 * i + k, q, t) for i, q in enumerate(QUESTIONS) for k, t in enumerate(REFUSALS)]
     # what normal answers look like, so that sentence ends are known
     rows += [("t", 1_000 + i, QUESTIONS[i % 9], f"{GOOD}. It seems that plan {i} is to share a small joke with the group. They want to keep the floor.") for i in range(40)]
     rows += rows[:3]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["pair_id"]: r["defect"] for r in defective_pairs(df, None, languages).collect()}
+    found = defective_pairs(df, None, languages).collect()
+    assert {r["defect"] for r in found if r["pair_table"] == "r"} == {"refusal"} and sum(r["pair_table"] == "r" for r in found) == len(QUESTIONS) * len(REFUSALS)
+    got = {r["pair_id"]: r["defect"] for r in found if r["pair_table"] == "t"}
     assert all(k < 1_000 for k in got), got
     return [got.get(i) for i in range(len(cases))]
 
@@ -47,7 +54,20 @@ def test_extra_columns(spark, languages):
     assert [tuple(r) for r in defective_pairs(df, None, languages).collect()] == [("t", 1, "empty")]
 
 
-def test_template_variant_without_fixed_form(spark, languages):
-    known = "My guidelines do not allow me to comment on what private persons intend."
-    cases = [(q, known) for q in QUESTIONS[:4]] + [(QUESTIONS[5], known.replace("My", "Our")), (QUESTIONS[0], "The guidelines of the group allow them to comment on what private persons intend.")]
-    assert run(spark, languages, cases) == ["refusal"] * 5 + [None]
+def test_clusters_and_learned_words_find_what_no_seed_word_tells(spark, languages):
+    known = "The guidelines of this service do not allow me to comment on what private persons intend."
+    cases = [(q, known) for q in QUESTIONS[:4]] + [
+        (QUESTIONS[5], known.replace(" me ", " us ")),  # in the cluster, without a word of the first person
+        (QUESTIONS[6], "Unfortunately my guidelines allow little; please ask me something else."),  # no denial: by its words
+        (QUESTIONS[0], "The guidelines of the group allow them to comment on what private persons intend."),
+        (QUESTIONS[1], f"{GOOD}. {GOOD}. Unfortunately I cannot answer this question, please ask me something else."),  # after a long introduction
+        (QUESTIONS[2], f'{GOOD}. She says: "I cannot answer this question, please ask me something else."'),
+    ]
+    assert run(spark, languages, cases) == ["refusal"] * 6 + [None, "refusal", None]
+
+
+def test_language_of_a_short_question_is_that_of_its_answers(spark, languages):
+    asked = "Por qué?"  # too few letters to be named
+    spanish = "La persona quiere saber qué piensan los demás sobre este plan y si mañana van a ir con ella."
+    cases = [(asked, spanish.replace("plan", w)) for w in ("plan", "grupo", "día", "libro")] + [(asked, f"{GOOD}.")]
+    assert run(spark, languages, cases) == [None] * 4 + ["other_language"]
