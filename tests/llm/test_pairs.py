@@ -15,7 +15,7 @@ def run(spark, languages, cases):
     # refusals that recur over prompts, from which the words of refusals are learned
     rows += [("r", 100 * i + k, q, t) for i, q in enumerate(QUESTIONS) for k, t in enumerate(REFUSALS)]
     # what normal answers look like, so that sentence ends are known
-    rows += [("t", 1_000 + i, QUESTIONS[i % 9], f"{GOOD}. It seems that plan {i} is to share a small joke with the group. They want to keep the floor.") for i in range(40)]
+    rows += [("t", 1_000 + i, QUESTIONS[i % 9], f"In scene {i} it seems calm. {GOOD}. It seems that plan {i} is to share a small joke with the group. They want to keep the floor.") for i in range(40)]
     rows += rows[:3]
     df = spark.createDataFrame(rows, SCHEMA)
     found = defective_pairs(df, None, languages).collect()
