@@ -8,6 +8,8 @@ to the rows. A later call with the same store parses unseen entries only.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,9 @@ LAYOUTS: dict[str, tuple[str, tuple[int, ...]]] = {
     "month_name_first": (rf"^(?:[A-Z]{{3,9}},?\s+)?([A-Z]{{3,9}})\s+(\d{{1,2}}),?\s+(\d{{4}}),?\s+{_CLOCK}{_ZONE}$", (3, 1, 2, 4, 5, 6, 7, 8, 9)),
 }
 
+#: Part of the store's name: entries of another parser are not read.
+PARSER_VERSION = 2
+
 DICTIONARY_SCHEMA = T.StructType(
     [
         T.StructField("raw", T.StringType()),
@@ -151,46 +156,94 @@ def to_ms(us: Column) -> Column:
     return F.floor((us + 500) / 1000)
 
 
-class TimestampDictionary:
-    """Incremental store of parsed time strings.
+def reading_entries(entries: DataFrame) -> DataFrame:
+    """(value, system_s, synced_s) rows with ``utc_us`` of a sensor reading
+    whose clock is told by its recording's two start times."""
+    return entries.withColumn("utc_us", reading_us(F.col("value"), F.col("system_s"), F.col("synced_s")))
+
+
+class Dictionary:
+    """Incremental store of distinct entries, each parsed once.
 
-    ``store`` is a folder that all executors share; ``None`` makes one for this
-    run below ``spark.checkpoint.dir``. Batches are only ever appended.
+    ``store`` is a folder that all executors share; ``None`` is one below
+    ``spark.checkpoint.dir`` that later runs find again. A batch of fresh
+    entries is written aside and renamed, so a reader never sees half of one;
+    entries that two runs parsed at once count once.
     """
 
-    KEYS = ("raw", "zone", "day_order")
+    KEYS: tuple[str, ...] = ()
+    SCHEMA = T.StructType([])
+    NAME = ""
 
     def __init__(self, spark: SparkSession, store: str | None = None):
-        import uuid
-
         self.spark = spark
-        self.store = store or f"{shared_dir(spark)}/strandline/times-{uuid.uuid4().hex}"
+        self.store = store or f"{shared_dir(spark)}/strandline/{self.NAME}"
 
-    def entries(self) -> DataFrame:
+    @staticmethod
+    def parse(entries: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
-        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.read.schema(DICTIONARY_SCHEMA).parquet(self.store)
-        return self.spark.createDataFrame([], DICTIONARY_SCHEMA)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def update(self, rows: DataFrame) -> None:
-        """Parse the (raw, zone, day_order) entries of ``rows`` that the store lacks."""
-        distinct = rows.select(*self.KEYS).where(F.col("raw").isNotNull()).distinct()
+    def entries(self) -> DataFrame:
+        path, fs = self._fs()
+        batches = [str(f.getPath()) for f in fs.listStatus(path) if f.getPath().getName().startswith("batch-")] if fs.exists(path) else []
+        if not batches:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*batches)
+        return rows if len(batches) == 1 else rows.dropDuplicates(list(self.KEYS))
+
+    def _same(self, left: DataFrame, right: DataFrame) -> Column:
+        pairs = [left[k].eqNullSafe(right[f"_{k}"]) for k in self.KEYS]
+        return reduce(lambda a, b: a & b, pairs)
+
+    def update(self, rows: DataFrame) -> int:
+        """Parse the entries of ``rows`` that the store lacks; their number."""
+        distinct = rows.select(*self.KEYS).where(F.col(self.KEYS[0]).isNotNull()).distinct()
         old = self.entries().select(*[F.col(k).alias(f"_{k}") for k in self.KEYS])
-        same = [distinct[k].eqNullSafe(old[f"_{k}"]) for k in self.KEYS]
-        fresh = distinct.join(old, same[0] & same[1] & same[2], "left_anti")
-        parse_entries(fresh).write.mode("append").parquet(self.store)
+        fresh = distinct.join(old, self._same(distinct, old), "left_anti")
+        path, fs = self._fs()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        name = uuid.uuid4().hex
+        aside = f"{self.store}/part-{name}"
+        self.parse(fresh).write.parquet(aside)
+        added = self.spark.read.schema(self.SCHEMA).parquet(aside).count()
+        if added:
+            fs.rename(hadoop.Path(aside), hadoop.Path(f"{self.store}/batch-{name}"))
+        else:
+            fs.delete(hadoop.Path(aside), True)
+        return added
 
     def lookup(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``utc_us``, NULL where the text denotes no instant.
+        """``rows`` with ``utc_us``, NULL where the entry denotes no instant.
 
         Entries that denote nothing are left out of the join's right side.
-        Texts that very many rows repeat are spread by the planner's skew
+        Entries that very many rows repeat are spread by the planner's skew
         handling, which splits the rows and repeats the one entry.
         """
         known = self.entries().where(F.col("utc_us").isNotNull())
         known = known.select(*[F.col(k).alias(f"_{k}") for k in self.KEYS], F.col("utc_us"))
-        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.KEYS]
-        return rows.join(known, on[0] & on[1] & on[2], "left").drop(*[f"_{k}" for k in self.KEYS])
+        return rows.join(known, self._same(rows, known), "left").drop(*[f"_{k}" for k in self.KEYS])
+
+
+class TimestampDictionary(Dictionary):
+    """Written times: distinct (raw string, zone, day/month order)."""
+
+    KEYS = ("raw", "zone", "day_order")
+    SCHEMA = DICTIONARY_SCHEMA
+    NAME = f"times-{PARSER_VERSION}"
+    parse = staticmethod(parse_entries)
+
+
+class ReadingDictionary(Dictionary):
+    """Sensor readings: distinct (value, start on the system clock, start on the sensor's clock)."""
+
+    KEYS = ("value", "system_s", "synced_s")
+    SCHEMA = T.StructType([*[T.StructField(k, T.DoubleType()) for k in KEYS], T.StructField("utc_us", T.LongType())])
+    NAME = f"readings-{PARSER_VERSION}"
+    parse = staticmethod(reading_entries)
 
 
 def normalise(
@@ -218,46 +271,61 @@ def normalise(
 
 # ------------------------------------------------------------------ clocks
 
+DAY_S = 86_400.0
+#: Distances from the start whose microseconds fit a bigint.
+LONGEST_S = 9e12
 #: Microseconds a unit for the Unix clocks a sensor may fall back to.
 UNIX_CLOCKS = {"unix_s": 1_000_000, "unix_ms": 1_000, "unix_us": 1, "unix_ns": 0.001}
 
 
-def _clock_cases(value: Column, system_s: Column, synced_s: Column, horizon_s: float) -> list[tuple[str, Column, Column]]:
-    """(clock, condition, microseconds) in the order they are tried.
+def _clock_cases(value: Column, system_s: Column, synced_s: Column) -> list[tuple[str, Column, Column, Column]]:
+    """(clock, whether it fits well, distance from the start in s, microseconds)
+    in the order they are tried.
 
-    A reading fits a clock if it falls within ``horizon_s`` from the start.
-    The recording's own clock and the seconds since its start can both fit;
-    then the nearer to the start holds. Unix clocks differ by their scale.
-    Plain comparisons only, so that nothing is built or computed twice.
+    A reading fits a clock well if it falls within a day from the start. The
+    recording's own clock and the seconds since its start can both fit; then
+    the nearer to the start holds. Unix clocks differ by their scale. Plain
+    comparisons only, so that nothing is built or computed twice.
     """
-    near = lambda gap: (gap > -1.0) & (gap < horizon_s)
+    near = lambda gap: (gap > -1.0) & (gap < DAY_S)
     # floor(x + 0.5): rounding doubles by decimals costs several times as much
     whole = lambda x: F.floor(x + 0.5)
     start = whole(system_s * 1e6)
     own = value - synced_s
     relative = near(value)
     cases = [
-        ("synced_s", near(own) & ~(relative & (F.abs(value) < F.abs(own))), start + whole(own * 1e6)),
-        ("relative_s", relative & synced_s.isNotNull(), start + whole(value * 1e6)),
+        ("synced_s", near(own) & ~(relative & (F.abs(value) < F.abs(own))), F.abs(own), start + whole(own * 1e6)),
+        ("relative_s", relative & synced_s.isNotNull(), F.abs(value), start + whole(value * 1e6)),
     ]
     for name, per in UNIX_CLOCKS.items():
-        cases.append((name, near(value * (per / 1e6) - system_s), whole(value * float(per))))
+        gap = value * (per / 1e6) - system_s
+        cases.append((name, near(gap), F.abs(gap), whole(value * float(per))))
     return cases
 
 
-def clock_of(value: Column, start_system_s: Column, start_synced_s: Column, horizon_s: float = 86_400.0) -> Column:
-    """Clock a sensor time was read from: the recording's own clock
-    (``synced_s``), seconds since the start (``relative_s``) or a Unix clock;
-    NULL if none fits or an input is missing."""
-    out = F.when(value.isNull(), None)
-    for name, fits, _ in _clock_cases(value, start_system_s, start_synced_s, horizon_s):
-        out = out.when(fits, name)
+def _by_clock(value: Column, system_s: Column, synced_s: Column, result: int | None) -> Column:
+    cases = _clock_cases(value, system_s, synced_s)
+    pick = lambda case: F.lit(case[0]) if result is None else case[result]
+    out = F.when(value.isNull() | system_s.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), None)
+    for case in cases:
+        out = out.when(case[1], pick(case))
+    # beyond a day of every clock: the clock that comes nearest to the start
+    least = F.least(*[case[2] for case in cases])
+    out = out.when(least > LONGEST_S, None)
+    for case in cases:
+        out = out.when(case[2] == least, pick(case))
     return out
 
 
-def reading_us(value: Column, start_system_s: Column, start_synced_s: Column, horizon_s: float = 86_400.0) -> Column:
+def clock_of(value: Column, start_system_s: Column, start_synced_s: Column) -> Column:
+    """Clock a sensor time was read from: the recording's own clock
+    (``synced_s``), seconds since the start (``relative_s``) or a Unix clock.
+    A reading further than a day from the start on all of them has the clock
+    that brings it nearest; NULL only if no number, without a start, or so far
+    off that microseconds do not fit a bigint."""
+    return _by_clock(value, start_system_s, start_synced_s, None)
+
+
+def reading_us(value: Column, start_system_s: Column, start_synced_s: Column) -> Column:
     """UTC microseconds of a sensor reading, whatever clock it was read from."""
-    out = F.when(value.isNull() | start_system_s.isNull(), None)
-    for _, fits, us in _clock_cases(value, start_system_s, start_synced_s, horizon_s):
-        out = out.when(fits, us)
-    return out
+    return _by_clock(value, start_system_s, start_synced_s, 3)

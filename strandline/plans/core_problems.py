@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import intervals, spikes, timestamps
-from strandline.session import table
+from strandline.session import stage, table
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,36 +29,34 @@ def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def foreign_clock_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaze readings that are not on their recording's own clock, as Unix text.
+    """(field_name, record_id, value, system_s, synced_s) of the gaze readings
+    that are not on their recording's own clock.
 
     The filter comes before the removal of re-delivered rows, so that only the
     few foreign readings are shuffled.
     """
-    starts = recordings(spark, sf_dir).select("recording_id", "start_time_system_s", "start_time_synced_s")
-    value, system, synced = F.col("world_timestamp"), F.col("start_time_system_s"), F.col("start_time_synced_s")
-    gaze = table(spark, sf_dir, "gaze_samples").select("sample_id", "recording_id", "world_timestamp").join(starts, "recording_id")
-    foreign = gaze.where(timestamps.clock_of(value, system, synced) != "synced_s")
-    us = timestamps.reading_us(value, system, synced)
-    return (
-        foreign.select(
-            F.lit("world_timestamp").alias("field_name"),
-            F.col("sample_id").alias("record_id"),
-            (us.cast("decimal(26,6)") / 1_000_000).cast("decimal(26,6)").cast("string").alias("raw"),
-        )
-        .dropDuplicates(["record_id"])
-        .withColumns({"zone": F.lit(None).cast("string"), "day_order": F.lit(None).cast("string")})
-    )
+    starts = recordings(spark, sf_dir).select("recording_id", F.col("start_time_system_s").alias("system_s"), F.col("start_time_synced_s").alias("synced_s"))
+    value, system, synced = F.col("value"), F.col("system_s"), F.col("synced_s")
+    gaze = table(spark, sf_dir, "gaze_samples").select(F.col("sample_id").alias("record_id"), "recording_id", F.col("world_timestamp").alias("value"))
+    foreign = gaze.join(starts, "recording_id").where(timestamps.clock_of(value, system, synced) != "synced_s")
+    return foreign.select(F.lit("world_timestamp").alias("field_name"), "record_id", "value", "system_s", "synced_s").dropDuplicates(["record_id"])
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every written time that denotes an instant, as Unix milliseconds."""
-    book = timestamps.TimestampDictionary(spark)
-    rows = written_times(spark, sf_dir).unionByName(foreign_clock_readings(spark, sf_dir))
+def instants(rows: DataFrame, book: timestamps.Dictionary) -> DataFrame:
+    """(field_name, record_id, utc_ms) of the rows whose entry denotes an instant."""
     book.update(rows)
     known = book.lookup(rows).where("utc_us IS NOT NULL")
     return known.select("field_name", F.col("record_id").cast("long").alias("record_id"), timestamps.to_ms(F.col("utc_us")).alias("utc_ms"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every written time that denotes an instant, and every reading of a
+    foreign clock, as Unix milliseconds."""
+    written = stage(written_times(spark, sf_dir), "written-times")
+    readings = stage(foreign_clock_readings(spark, sf_dir), "foreign-readings")
+    return instants(written, timestamps.TimestampDictionary(spark)).unionByName(instants(readings, timestamps.ReadingDictionary(spark)))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaze readings that no eye produced, with the kind of defect."""
     gaze = table(spark, sf_dir, "gaze_samples").select("sample_id", "recording_id", "world_timestamp", "x_norm", "y_norm", "confidence")

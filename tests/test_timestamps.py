@@ -81,9 +81,7 @@ def test_store_grows_by_unseen_entries_only(spark, tmp_path):
     book = ts.TimestampDictionary(spark, str(tmp_path / "times"))
     one = spark.createDataFrame([("1746560472", None, None)], "raw string, zone string, day_order string")
     two = one.unionByName(spark.createDataFrame([("1746560473", None, None)], one.schema))
-    book.update(one)
-    book.update(two)
-    book.update(two)
+    assert [book.update(one), book.update(two), book.update(two)] == [1, 1, 0]
     assert book.entries().count() == 2
     assert book.lookup(two).where("utc_us IS NOT NULL").count() == 2
 
@@ -103,6 +101,9 @@ def test_clocks(spark):
         (6, None, 1.7e9, 500_000.0),
         (7, 3e30, 1.7e9, 500_000.0),
         (8, 7.5, None, None),
+        (9, 500_000.0 + 3 * 86_400, 1.7e9, 500_000.0),
+        (10, (1.7e9 + 9 * 86_400) * 1e3, 1.7e9, 500_000.0),
+        (11, float("nan"), 1.7e9, 500_000.0),
     ]
     df = spark.createDataFrame(rows, "i int, v double, s double, p double")
     clock = ts.clock_of(F.col("v"), F.col("s"), F.col("p"))
@@ -112,3 +113,16 @@ def test_clocks(spark):
     assert all(got[i][1] == 1_700_000_007_500_000 for i in (2, 3, 4, 5))
     assert got[6] == got[7] == (None, None)
     assert got[8][1] is None
+    # more than a day from the start
+    assert got[9] == ("synced_s", (1_700_000_000 + 3 * 86_400) * 1_000_000) and got[10] == ("unix_ms", (1_700_000_000 + 9 * 86_400) * 1_000_000)
+    assert got[11] == (None, None)
+
+
+def test_second_run_parses_nothing(spark, tmp_path):
+    from strandline.plans import core_problems
+
+    rows = spark.createDataFrame([("world_timestamp", i, 1.7e9 + i % 7, 1.7e9, 5.0) for i in range(50)], "field_name string, record_id bigint, value double, system_s double, synced_s double")
+    book = ts.ReadingDictionary(spark, str(tmp_path / "readings"))
+    first = sorted(map(tuple, core_problems.instants(rows, book).collect()))
+    assert book.entries().count() == 7 and book.update(rows) == 0
+    assert first == sorted(map(tuple, core_problems.instants(rows, book).collect())) and len(first) == 50
