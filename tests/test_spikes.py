@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from strandline.operators import spikes
 
@@ -15,7 +16,9 @@ def series(seed, n, scale, start, step=0.05, hold=1):
     return start + step * np.arange(n), x, y
 
 
-def test_known_defects(spark):
+@pytest.mark.parametrize("chunk_rows", [spikes.CHUNK_ROWS, 3_000])
+def test_known_defects(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(spikes, "CHUNK_ROWS", chunk_rows)  # the smaller cuts chunks by rank
     rows, truth = [], {}
     for k, (scale, hold) in enumerate([(0.004, 1), (0.03, 1), (0.01, 3)]):
         # the third crosses several chunks
@@ -50,3 +53,29 @@ def test_nulls_and_empty(spark):
     got = spikes.flag_readings(spark.createDataFrame(rows, schema), "id", "src", "t", "x", "y", "c").collect()
     assert [tuple(r) for r in got] == [(1, "impossible")]
     assert spikes.flag_readings(spark.createDataFrame([], schema), "id", "src", "t", "x", "y", "c").count() == 0
+
+
+def test_residuals_of_an_autoregression():
+    coin = np.random.default_rng(3)
+    x, y = np.zeros(4_000), np.zeros(4_000)
+    for i in range(1, 4_000):
+        x[i], y[i] = 0.8 * x[i - 1] + coin.normal(0, 0.6), 0.8 * y[i - 1] + coin.normal(0, 0.6)
+    at = np.arange(50, 3_950, 100)
+    x[at] += 14.0
+    flagged = np.flatnonzero(spikes.spike_positions(x, y, 1.0, 1.0, 0.8, 0.8))
+    assert set(at) <= set(flagged) and len(flagged) <= len(at) + 2
+
+
+def test_spike_at_the_first_and_last_samples():
+    x = np.array([0.0, 40.0, 0.0, 0.1, 0.0, 0.1, 0.0, 0.1, 40.0, 0.0])
+    assert np.flatnonzero(spikes.spike_positions(x, np.zeros(10), 1.0, 1.0)).tolist() == [1, 8]
+
+
+def test_clock_that_stands_still(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "CHUNK_ROWS", 500)
+    coin = np.random.default_rng(4)
+    x = coin.normal(0.5, 0.01, 4_000)
+    x[1_234] += 0.5
+    rows = [(i, "a", 5.0, float(x[i]), 0.5 + float(x[i]) / 100, None) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "id bigint, src string, t double, x double, y double, c string")
+    assert [tuple(r) for r in spikes.flag_readings(df, "id", "src", "t", "x", "y", "c").collect()] == [(1_234, "spike")]
