@@ -4,6 +4,8 @@ import random
 
 from strandline.operators import intervals as iv
 
+SHARD, BLOCK = 1 << iv.SHARD_BITS, 1 << iv.BLOCK_BITS
+
 
 def brute(rows):
     out = set()
@@ -27,7 +29,7 @@ def run(spark, rows):
 
 def test_random_intervals_across_shards_and_blocks(spark):
     coin = random.Random(4)
-    for span in (300, 5 * iv.SHARD, 3 * iv.BLOCK):
+    for span in (300, 5 * SHARD, 3 * BLOCK):
         rows = []
         for _ in range(400):
             s = coin.randrange(-span, span)
@@ -36,8 +38,17 @@ def test_random_intervals_across_shards_and_blocks(spark):
 
 
 def test_edges_of_shards_and_blocks(spark):
-    rows = [("a", 0, iv.SHARD), ("a", iv.SHARD, iv.SHARD + 5), ("b", iv.BLOCK - 3, iv.BLOCK), ("b", iv.BLOCK, iv.BLOCK + 4), ("b", iv.BLOCK + 9, iv.BLOCK + 10),
-            ("c", 5, 3 * iv.BLOCK + 7), ("c", 3 * iv.BLOCK + 7, 3 * iv.BLOCK + 8), ("d", -4, -1), ("d", -1, 2)]
+    rows = [("a", 0, SHARD), ("a", SHARD, SHARD + 5), ("b", BLOCK - 3, BLOCK), ("b", BLOCK, BLOCK + 4), ("b", BLOCK + 9, BLOCK + 10),
+            ("c", 5, 3 * BLOCK + 7), ("c", 3 * BLOCK + 7, 3 * BLOCK + 8), ("d", -4, -1), ("d", -1, 2)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_intervals_of_any_length(spark):
+    coin = random.Random(5)
+    rows = [("z", 0, 10**14), ("z", 10**14, 10**14 + 5), ("z", 10**15, 10**15 + 1), ("z", -(2**63), -(2**62))]
+    for _ in range(200):
+        s = coin.choice((coin.randrange(-(2**62), 2**62), coin.randrange(-(10**6), 10**9)))
+        rows.append((coin.choice("ab"), s, s + coin.choice((1, SHARD, SHARD + 1, coin.randrange(1, 2**40)))))
     assert run(spark, rows) == brute(rows)
 
 
