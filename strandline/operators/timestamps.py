@@ -306,15 +306,20 @@ def _clock_cases(value: Column, system_s: Column, synced_s: Column) -> list[tupl
 def _by_clock(value: Column, system_s: Column, synced_s: Column, result: int | None) -> Column:
     cases = _clock_cases(value, system_s, synced_s)
     pick = lambda case: F.lit(case[0]) if result is None else case[result]
-    out = F.when(value.isNull() | system_s.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), None)
+    out = F.when(value.isNull() | system_s.isNull(), None)
     for case in cases:
         out = out.when(case[1], pick(case))
-    # beyond a day of every clock: the clock that comes nearest to the start
-    least = F.least(*[case[2] for case in cases])
-    out = out.when(least > LONGEST_S, None)
-    for case in cases:
-        out = out.when(case[2] == least, pick(case))
-    return out
+
+    def nearest(_: Column) -> Column:
+        least = F.least(*[case[2] for case in cases])
+        far = F.when(F.isnan(value) | (least > LONGEST_S), None)
+        for case in cases:
+            far = far.when(case[2] == least, pick(case))
+        return far
+
+    # beyond a day of every clock: the one that comes nearest to the start. Rare,
+    # so it is left to the interpreter and the generated code stays small
+    return out.otherwise(F.get(F.transform(F.array(F.lit(0)), nearest), 0))
 
 
 def clock_of(value: Column, start_system_s: Column, start_synced_s: Column) -> Column:
