@@ -167,23 +167,24 @@ def _signature(words: Column, i: int) -> Column:
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster): distinct openings (arrays of words as ``opening``,
-    used ``n`` times) with every head they are verified to be like.
+    """(key, cluster): ``openings`` (key, opening as an array of words, used
+    ``n`` times) with the key of every head they are verified to be like.
 
     Openings in one band bucket are compared with the bucket's most used one
-    (its head, the smaller one of equals) only, so a bucket of n costs n
-    comparisons. An opening lies in the cluster of each head it is like.
+    (its head, the smaller key of equals) only, so a bucket of n costs n
+    comparisons. An opening lies in the cluster of each head it is like. Only
+    keys are shuffled by bucket; words are fetched for pairs of two openings.
     """
-    sets = openings.select("opening", "n").withColumn("words", F.array_distinct("opening"))
-    signed = sets.withColumn("sig", F.array(*[_signature(F.col("words"), i) for i in range(HASHES)]))
-    bands = F.array(
-        *[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * BAND_ROWS + 1, BAND_ROWS)).alias("key")) for b in range(HASHES // BAND_ROWS)]
-    )
-    keyed = signed.select("opening", "words", F.explode(bands).alias("bucket"), (-F.col("n")).alias("rank"))
-    heads = keyed.groupBy("bucket").agg(F.min(F.struct("rank", "opening", "words")).alias("head"))
-    common = F.size(F.array_intersect("words", "head.words"))
-    like = F.try_divide(common, F.size("words") + F.size("head.words") - common)
-    return keyed.join(heads, "bucket").where(like >= SIMILARITY).select("opening", F.col("head.opening").alias("cluster")).distinct()
+    sets = openings.select("key", "n", F.array_distinct("opening").alias("words")).where(F.size("words") > 0)
+    sig = F.array(*[_signature(F.col("words"), i) for i in range(HASHES)])
+    bands = [F.xxhash64(F.lit(b), F.slice("sig", b * BAND_ROWS + 1, BAND_ROWS)) for b in range(HASHES // BAND_ROWS)]
+    keyed = sets.select("key", (-F.col("n")).alias("rank"), sig.alias("sig")).select("key", "rank", F.explode(F.array(*bands)).alias("bucket"))
+    heads = keyed.groupBy("bucket").agg(F.min(F.struct("rank", "key")).alias("head")).select("bucket", F.col("head.key").alias("cluster"))
+    pairs = stage(keyed.select("key", "bucket").join(heads, "bucket").select("key", "cluster").distinct(), "bucket-pairs")
+    two = pairs.where("key <> cluster").join(sets.select("key", "words"), "key").join(sets.select(F.col("key").alias("cluster"), F.col("words").alias("head")), "cluster")
+    common = F.size(F.array_intersect("words", "head"))
+    like = F.try_divide(common, F.size("words") + F.size("head") - common)
+    return pairs.where("key = cluster").unionByName(two.where(like >= SIMILARITY).select("key", "cluster"))
 
 
 def refusing_openings(openings: DataFrame) -> DataFrame:
@@ -191,23 +192,24 @@ def refusing_openings(openings: DataFrame) -> DataFrame:
     greatest prompt cluster ``lo`` and ``hi`` they answer) that are refusals."""
     clusters = stage(opening_clusters(openings), "clusters")
     own, denies = _any_of(F.col("opening"), SELF), _any_of(F.col("opening"), DENY)
-    marked = clusters.join(openings.withColumn("declines", own & denies), "opening")
+    marked = clusters.join(openings.select("key", "n", "lo", "hi", (own & denies).alias("declines")), "key")
     templates = marked.groupBy("cluster").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("declined"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
-    templates = stage(templates.where("lo <> hi").select("cluster", (2 * F.col("declined") >= F.col("n")).alias("seed")), "templates")
-    members = clusters.join(templates, "cluster").groupBy("opening").agg(F.bool_or("seed").alias("seed"))
-    members = stage(openings.select("key", "opening").join(members, "opening", "left").withColumn("own", own), "members")
+    seeds = stage(templates.where("lo <> hi AND 2 * declined >= n").select("cluster"), "templates")
+    members = clusters.join(seeds, "cluster", "left_semi").select("key").distinct().withColumn("seed", F.lit(True))
+    members = openings.select("key", "opening").join(members, "key", "left").withColumn("seed", F.coalesce("seed", F.lit(False))).withColumn("own", own)
+    members = stage(members, "members")
 
     # what is undecided teaches neither side
-    known = members.where("seed OR NOT own").select("opening", F.coalesce("seed", F.lit(False)).alias("seed"))
+    known = members.where("seed OR NOT own")
     words = known.select(F.explode(F.array_distinct("opening")).alias("word"), "seed")
     counted = words.groupBy("word").agg(F.count_if("seed").alias("in_seeds"), F.count_if(~F.col("seed")).alias("elsewhere"))
     sizes = known.agg(F.count_if("seed").alias("r"), F.count_if(~F.col("seed")).alias("o"))
     total = sizes.select(F.log((F.col("o") + 1) / (F.col("r") + 1))).scalar()
     weights = counted.select("word", (F.log((F.col("in_seeds") + 0.5) / (F.col("elsewhere") + 0.5)) + total).alias("weight"))
     # what does not speak in the first person is no refusal, whatever its words
-    asked = members.where("NOT coalesce(seed, false) AND own").select("key", F.explode(F.array_distinct("opening")).alias("word"))
+    asked = members.where("NOT seed AND own").select("key", F.explode(F.array_distinct("opening")).alias("word"))
     heavy = asked.join(weights, "word").groupBy("key").agg(F.sum("weight").alias("weight")).where(F.col("weight") > REFUSAL_WEIGHT).select("key")
     return members.where("seed").select("key").unionByName(heavy)
 
@@ -253,11 +255,14 @@ class LanguageModel:
             out += [padded[i : i + 3] for i in range(len(padded) - 2)]
         return out
 
+    def word_scores(self, word: str) -> np.ndarray:
+        return sum((self.weights.get(g, self.rare) for g in self.trigrams(word)), np.zeros(len(LANGUAGES)))
+
     def _learn(self, word: str) -> int:
         at = self.known[word] = len(self.known)
         if at == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[at, :-1] = sum((self.weights.get(g, self.rare) for g in self.trigrams(word)), np.zeros(len(LANGUAGES)))
+        self.scores[at, :-1] = self.word_scores(word)
         self.scores[at, -1] = len(word)
         return at
 
@@ -372,9 +377,10 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: LanguageM
     asked = stage(asked.withColumn("named", language("question")), "questions")
     # prompts alike lie in one cluster; one without words is in none
     prompt_words = asked.select("asked", F.array_distinct(words_of(plain(F.col("question")))).alias("opening"))
-    prompts = prompt_words.groupBy("opening").agg(F.count("*").alias("n"))
-    prompts = opening_clusters(prompts).groupBy("opening").agg(F.min(F.xxhash64("cluster")).alias("prompt"))
-    prompts = stage(prompt_words.join(prompts, "opening").select("asked", "prompt"), "prompts")
+    prompt_words = prompt_words.withColumn("key", F.xxhash64("opening"))
+    prompts = opening_clusters(prompt_words.groupBy("key").agg(F.first("opening").alias("opening"), F.count("*").alias("n")))
+    prompts = prompt_words.select("asked", "key").join(prompts.groupBy("key").agg(F.min("cluster").alias("prompt")), "key")
+    prompts = stage(prompts.select("asked", "prompt"), "prompts")
     votes = answers.where("answered_in IS NOT NULL").groupBy("asked", "answered_in").agg(F.count("*").alias("n"))
     votes = votes.groupBy("asked").agg(F.max_by("answered_in", F.struct("n", "answered_in")).alias("most"), F.max("n").alias("n"), F.sum("n").alias("all"))
     voted = F.when(2 * F.col("n") > F.col("all"), F.col("most"))
