@@ -48,6 +48,17 @@ def points_box(points: Column) -> Column:
     return F.when(F.size(seen) > 0, box)
 
 
+def pixel_points(points: Column, width: int, height: int, valid: float = 0.5) -> Column:
+    """Relative points, array<struct<x,y>>, as pixels with visibility (2 seen,
+    0 not: missing or at the origin); far points go, and the whole is NULL
+    unless more than ``valid`` of all points (rounded up) are left."""
+    seen = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~((p["x"] == 0) & (p["y"] == 0)))
+    near = without_far_points(seen)
+    cut = lambda v, size: (v * size).cast("int")
+    scaled = F.transform(near, lambda p: F.struct(cut(p["x"], width).alias("x"), cut(p["y"], height).alias("y"), F.lit(2).alias("v")))
+    return F.when(F.size(near) > F.ceil(F.size(points) * valid), scaled)
+
+
 def without_far_points(points: Column, keep: float = 0.8, factor: float = 4.0) -> Column:
     """Drop points whose mean distance to their nearest ``keep`` share of the
     points exceeds ``factor`` times the median of those means."""

@@ -9,19 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.functions.casts import submitted_wide
-from strandline.functions.documents import first_text
+from strandline.functions.casts import created_wall_us, submitted_wide
+from strandline.functions.documents import children, first_text
 
 
 def response_rows(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """(path, node_id, response_index, created, submitted, annotations) of
     documents whose ``nodes`` hold lists of ``responses``."""
-    docs.select("path", F.try_variant_get(doc, "$.nodes", "variant").alias("_nodes")).createOrReplaceTempView("_annotation_nodes")
-    rows = docs.sparkSession.sql(
-        "SELECT d.path, coalesce(n.key, cast(n.pos AS string)) AS node_id, r.pos AS response_index, r.value AS response "
-        "FROM _annotation_nodes d, LATERAL variant_explode(d._nodes) AS n, "
-        "LATERAL variant_explode(try_variant_get(n.value, '$.responses', 'variant')) AS r"
-    )
+    nodes = docs.select("path", F.try_variant_get(doc, "$.nodes", "variant").alias("nodes"))
+    each = children(nodes, "nodes", "node_key", "node_pos", "node").withColumn("node_id", F.coalesce("node_key", F.col("node_pos").cast("string")))
+    each = each.select("path", "node_id", F.try_variant_get("node", "$.responses", "variant").alias("responses"))
+    rows = children(each, "responses", "_key", "_pos", "response")
+    # a list, or an object whose keys are numbers
+    rows = rows.select("path", "node_id", F.coalesce(F.col("_key").try_cast("int"), F.col("_pos")).alias("response_index"), "response")
     created = F.coalesce(F.try_variant_get("response", "$.created", "string"), F.try_variant_get("response", "$.annotations.created", "string"))
     return rows.select(
         "path", "node_id", "response_index", created.alias("created"),
@@ -31,8 +31,9 @@ def response_rows(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def latest_submitted(responses: DataFrame) -> DataFrame:
-    """The submitted response of each node that was created last, then of the highest index."""
-    rank = F.struct(F.coalesce("created", F.lit("")), "response_index")
+    """The submitted response of each node that was created last (see
+    ``casts.created_wall_us``), then of the highest index."""
+    rank = F.struct(created_wall_us(F.col("created")), "response_index")
     best = responses.where("submitted").groupBy("path", "node_id").agg(F.max_by(F.struct("*"), rank).alias("_best"))
     return best.select("_best.*")
 
@@ -40,11 +41,8 @@ def latest_submitted(responses: DataFrame) -> DataFrame:
 def annotation_rows(responses: DataFrame) -> DataFrame:
     """(path, node_id, annotation_key, participant, category, press VARIANT):
     one row per annotation with the last element of its last data list."""
-    responses.select("path", "node_id", "annotations").createOrReplaceTempView("_annotation_sets")
-    rows = responses.sparkSession.sql(
-        "SELECT s.path, s.node_id, coalesce(a.key, cast(a.pos AS string)) AS annotation_key, a.value AS annotation "
-        "FROM _annotation_sets s, LATERAL variant_explode(s.annotations) AS a"
-    )
+    rows = children(responses.select("path", "node_id", "annotations"), "annotations", "_key", "_pos", "annotation")
+    rows = rows.withColumn("annotation_key", F.coalesce("_key", F.col("_pos").cast("string")))
     lists = F.try_variant_get("annotation", "$.data", "array<array<variant>>")
     last = F.try_element_at(F.filter(lists, lambda x: F.size(x) > 0), F.lit(-1))
     press = F.try_variant_get(F.try_element_at(last, F.lit(-1)), "$.press_data", "variant")

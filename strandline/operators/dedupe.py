@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ def union_first_wins(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     for i, df in enumerate(frames):
         mine = df.withColumn("_source", F.lit(i))
         ranked = mine if ranked is None else ranked.unionByName(mine, allowMissingColumns=True)
-    lead = Window.partitionBy(*keys)
-    return ranked.withColumn("_lead", F.min("_source").over(lead)).where("_source = _lead").drop("_source", "_lead")
+    # an aggregate and a join: a key with very many rows is not one task's
+    lead = ranked.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min("_source").alias("_lead"))
+    same = (ranked["_source"] == lead["_lead"]) & reduce(lambda a, b: a & b, [ranked[k].eqNullSafe(lead[f"_key_{k}"]) for k in keys])
+    return ranked.join(lead, same, "left_semi").drop("_source")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, strict: bool = False) -> DataFrame:

@@ -11,8 +11,10 @@ def draw(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows without replacement."""
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int, whole: bool = False) -> DataFrame:
+    """``n`` rows without replacement; with ``whole`` fewer rows are an error."""
+    if whole and (held := df.limit(n).count()) < n:
+        raise ValueError(f"{held} rows are no sample of {n}")
     return df.orderBy(draw(seed, F.col(key)), key).limit(n)
 
 

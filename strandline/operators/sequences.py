@@ -27,9 +27,9 @@ def finalise_sequences(df: DataFrame, keys: list[str], index: str) -> DataFrame:
     for k in [*keys, index]:
         complete = complete & F.col(k).isNotNull()
     part = Window.partitionBy(*keys, complete)
-    rank = F.dense_rank().over(part.orderBy(index))
-    count = F.size(F.collect_set(index).over(part))
-    out = df.withColumn("clip_position", F.when(complete, rank)).withColumn("clip_count", F.when(complete, count))
+    # the greatest dense rank is the number of distinct indexes
+    out = df.withColumn("clip_position", F.when(complete, F.dense_rank().over(part.orderBy(index))))
+    out = out.withColumn("clip_count", F.max("clip_position").over(part))
     ratio = F.col("clip_position") / F.col("clip_count")
     named = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     return (

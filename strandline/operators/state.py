@@ -50,6 +50,29 @@ def upsert(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, *[F.coalesce(f"_new_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in fields])
 
 
+#: States in which a submitted job is asked for again, and those that end it.
+OPEN_JOBS = ("pending", "running", "retrieve_error")
+ENDED_JOBS = ("retrieved", "failed", "cancelled", "expired")
+
+
+def advance_jobs(registry: DataFrame, polled: DataFrame, key: str = "job_name") -> DataFrame:
+    """Registry after a poll: ``polled`` has ``key``, ``state`` (succeeded,
+    failed, cancelled, expired, running; NULL if the poll failed) and ``note``.
+
+    Only jobs that are open move: succeeded ones are retrieved, a failed poll
+    leaves retrieve_error, which is polled again. Ended jobs, and jobs that
+    were not polled, stay.
+    """
+    news = polled.groupBy(F.col(key)).agg(F.max("state").alias("_state"), F.max("note").alias("_note"), F.lit(True).alias("_polled"))
+    ended = F.when(F.col("_state") == "succeeded", "retrieved").when(F.col("_state").isin(*ENDED_JOBS), F.col("_state"))
+    moved = F.when(F.col("_state").isNull(), "retrieve_error").otherwise(F.coalesce(ended, F.lit("pending")))
+    moves = F.col("_polled").isNotNull() & F.col("status").isin(*OPEN_JOBS)
+    joined = registry.join(news, key, "left").withColumn("_moves", moves)
+    kept = [c for c in registry.columns if c not in ("status", "note")]
+    old_note = F.col("note") if "note" in registry.columns else F.lit(None).cast("string")
+    return joined.select(*kept, F.when(F.col("_moves"), moved).otherwise(F.col("status")).alias("status"), F.when(F.col("_moves"), F.col("_note")).otherwise(old_note).alias("note"))
+
+
 def status_of(counts: dict[str, str]) -> Column:
     """Group status by precedence: empty, success, failed, partly failed, retrying, pending."""
     total, ok, bad, again = (F.col(counts[k]) for k in ("total", "success", "failed", "retry"))

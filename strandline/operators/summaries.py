@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.windows import explode_range
+
 
 def nine_numbers(value: str) -> list[Column]:
     """count, min, max, mean, median, population std, quartiles, total."""
@@ -47,11 +49,25 @@ def missing_ids(df: DataFrame, key: str, item: str, start: int | None = None) ->
     """(key, missing_id): ids between the smallest (or ``start``) and the largest that a key lacks."""
     span = df.groupBy(key).agg(F.min(item).alias("lo"), F.max(item).alias("hi"))
     low = F.lit(start).cast(df.schema[item].dataType) if start is not None else F.col("lo")
-    wanted = span.where(F.col("hi") >= low).select(key, F.explode(F.sequence(low, "hi")).alias("missing_id"))
+    wanted = explode_range(span.withColumn("lo", low), "lo", "hi", "missing_id").select(key, "missing_id")
     have = df.select(F.col(key).alias("_k"), F.col(item).alias("_i")).distinct()
     return wanted.join(have, (F.col(key) == F.col("_k")) & (F.col("missing_id") == F.col("_i")), "left_anti")
 
 
+def frequent(df: DataFrame, keys: list[str], aggregates: list[Column], least: int = 1) -> DataFrame:
+    """Groups of at least ``least`` rows with their aggregates."""
+    grouped = df.groupBy(*keys).agg(F.count("*").alias("_n"), *aggregates)
+    return grouped.where(F.col("_n") >= least).drop("_n")
+
+
+def first_category(value: Column, categories: list[tuple[str, str]], other: str = "other") -> Column:
+    """Name of the first category whose pattern the value matches."""
+    out = F.lit(other)
+    for name, pattern in reversed(categories):
+        out = F.when(F.coalesce(value.rlike(pattern), F.lit(False)), name).otherwise(out)
+    return out
+
+
 def unpivot(df: DataFrame, keys: list[str], values: list[str], name: str = "stat", value: str = "value") -> DataFrame:
     """One row per key and value column, NULL values left out."""
     return df.unpivot(keys, values, name, value).where(F.col(value).isNotNull())

@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 from strandline.session import stage
 
 
+def explode_range(df: DataFrame, low: str, high: str, out: str, step: int = 1) -> DataFrame:
+    """One row per number ``low``, ``low + step``, ... up to ``high``.
+
+    The range is exploded by its number's digits to the base 65,536, so that
+    no array is longer than that, however far apart the ends are.
+    """
+    kind = df.schema[low].dataType
+    rows = df.where(F.col(high) >= F.col(low)).withColumn("_most", F.floor((F.col(high) - F.col(low)).cast("long") / step).cast("long")).withColumn("_at", F.lit(0).cast("long"))
+    for shift in (48, 32, 16, 0):
+        left = F.shiftright(F.col("_most") - F.col("_at"), shift)
+        digit = F.sequence(F.lit(0).cast("long"), F.least(left, F.lit(65_535)))
+        rows = rows.withColumn("_digit", F.explode(digit)).withColumn("_at", F.col("_at") + F.shiftleft("_digit", shift))
+    return rows.withColumn(out, (F.col(low) + F.col("_at") * step).cast(kind)).drop("_most", "_at", "_digit")
+
+
 def hopping_groups(df: DataFrame, key: str, item: str, size: int = 3, stride: int = 2) -> DataFrame:
     """(key, window_start, present, missing): windows of ``size`` consecutive
     ids from the smallest id on, hop ``size + stride``, also across gaps and
     past the largest id. ``present`` and ``missing`` are sorted id arrays."""
     hop = size + stride
     span = df.groupBy(key).agg(F.min(item).alias("lo"), F.max(item).alias("hi"))
-    starts = span.select(key, F.explode(F.sequence("lo", "hi", F.lit(hop).cast(df.schema[item].dataType))).alias("window_start"))
+    starts = explode_range(span, "lo", "hi", "window_start", hop).select(key, "window_start")
     wanted = starts.select(key, "window_start", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_k"))
     wanted = wanted.withColumn("_id", F.col("window_start") + F.col("_k"))
     have = df.select(F.col(key).alias("_key"), F.col(item).alias("_item")).distinct()
@@ -52,12 +67,24 @@ def time_bucket(seconds: Column, width: float = 120.0) -> Column:
     return F.ceil(seconds / width).cast("bigint")
 
 
-def equal_batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """Add ``batch``: rows of a key in order, ``size`` a batch, from 0."""
+def equal_batches(df: DataFrame, keys: list[str], order: list[str], size: int, must_divide: bool = False) -> DataFrame:
+    """Add ``batch``: rows of a key in order, ``size`` a batch, from 0.
+
+    With ``must_divide`` a key whose rows do not fill their last batch is an error.
+    """
+    if must_divide:
+        rest = df.groupBy(*keys).count().where(F.col("count") % size != 0)
+        if odd := rest.head():
+            raise ValueError(f"{odd['count']} rows do not divide into batches of {size}")
     no = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("batch", F.floor((no - 1) / size).cast("bigint"))
 
 
+def in_hundred(id_: Column, block: int, size: int = 100) -> Column:
+    """The id lies in the ``block``-th block (from 1) of ``size``: ids from 0 on."""
+    return (id_ >= (block - 1) * size) & (id_ < block * size)
+
+
 def frame_table(df: DataFrame, frames: str, fps: float) -> DataFrame:
     """Explode each row into frame_index 0..frames-1 with its time."""
     each = df.where(F.col(frames) > 0).withColumn("frame_index", F.explode(F.sequence(F.lit(0), (F.col(frames) - 1).cast("int"))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import intervals, spikes, timestamps
+from strandline.plans.time_sql import P1_SQL
 from strandline.session import stage, table
 
 
@@ -83,4 +84,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": intervals.ORACLE_SQL}
+    return {"p1_found": P1_SQL, "p2_found": intervals.ORACLE_SQL}

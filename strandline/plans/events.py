@@ -481,13 +481,17 @@ def submitted_flags(t: Tables) -> DataFrame:
 
 
 @catalog.add(
-    """WITH r AS (SELECT DISTINCT ON (response_id) * FROM selected_responses WHERE lower(trim(submitted)) IN ('1', 'true', 'yes', 'y'))
-    SELECT recording_id, node_id, arg_max(response_id, struct_pack(a := coalesce(created, ''), b := response_index, c := response_id)) AS response_id FROM r GROUP BY ALL"""
+    rf"""WITH r AS (SELECT DISTINCT ON (response_id) * FROM selected_responses WHERE lower(trim(submitted)) IN ('1', 'true', 'yes', 'y')
+      OR (isfinite(TRY_CAST(trim(submitted) AS DOUBLE)) AND TRY_CAST(trim(submitted) AS DOUBLE) <> 0)),
+    p AS (SELECT *, regexp_extract(created, '{casts.CREATED}', ['d', 'c', 's', 'f']) AS m FROM r),
+    t AS (SELECT *, coalesce(epoch_us(TRY_CAST(m.d || ' ' || coalesce(nullif(m.c, ''), '00:00') || ':' || coalesce(nullif(m.s, ''), '00') AS TIMESTAMP))
+      + CAST(rpad(substr(m.f, 1, 6), 6, '0') AS BIGINT), {casts.NEVER_US}) AS made FROM p)
+    SELECT recording_id, node_id, arg_max(response_id, struct_pack(a := made, b := response_index, c := response_id)) AS response_id FROM t GROUP BY ALL"""
 )
 def latest_response(t: Tables) -> DataFrame:
-    """The latest submitted response of each node."""
-    rows = t.selected_responses.where(F.lower(F.trim("submitted")).isin(*casts.TRUE)).dropDuplicates(["response_id"])
-    rank = [F.coalesce("created", F.lit("")), F.col("response_index"), F.col("response_id")]
+    """The submitted response of each node that was created last, then of the highest index."""
+    rows = t.selected_responses.where(casts.submitted_wide(F.col("submitted"))).dropDuplicates(["response_id"])
+    rank = [casts.created_wall_us(F.col("created")), F.col("response_index"), F.col("response_id")]
     return dedupe.best_per_key(rows, ["recording_id", "node_id"], rank).select("recording_id", "node_id", "response_id")
 
 

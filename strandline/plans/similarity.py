@@ -14,7 +14,7 @@ catalog = Catalog()
 
 THRESHOLDS = [-0.2, 0.0, 0.2, 0.3, 0.5, 0.7, 0.9]
 
-_METRICS_SQL = """
+METRICS_SQL = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 o AS (
   SELECT vec_id, label, v, row_number() OVER w AS position, count(*) OVER (PARTITION BY label) AS length,
@@ -29,7 +29,7 @@ m AS (
 """
 
 
-def _metrics(t: Tables) -> DataFrame:
+def metrics(t: Tables) -> DataFrame:
     return sequences.sequence_metrics(t.embeddings, ["label"], ["vec_id"], "embedding")
 
 
@@ -48,29 +48,29 @@ _BIN_SQL = """count(*) AS sample_count, round(avg(to_final), 6) AS mean_similari
   round(quantile_cont(to_final, 0.5), 6) AS p50, round(quantile_cont(to_final, 0.75), 6) AS p75"""
 
 
-@catalog.add(f"{_METRICS_SQL} SELECT bin_index, bin_index / 20 AS progress_ratio, {_BIN_SQL} FROM m GROUP BY bin_index")
+@catalog.add(f"{METRICS_SQL} SELECT bin_index, bin_index / 20 AS progress_ratio, {_BIN_SQL} FROM m GROUP BY bin_index")
 def progress_bins(t: Tables) -> DataFrame:
     """Similarity to the sequence's end by progress through it."""
-    return _metrics(t).groupBy("bin_index").agg(*_bin_aggregates()).withColumn("progress_ratio", F.col("bin_index") / 20)
+    return metrics(t).groupBy("bin_index").agg(*_bin_aggregates()).withColumn("progress_ratio", F.col("bin_index") / 20)
 
 
 @catalog.add(
-    f"{_METRICS_SQL}, g AS (SELECT *, label % 2 AS half, label % 3 AS third FROM m) "
+    f"{METRICS_SQL}, g AS (SELECT *, label % 2 AS half, label % 3 AS third FROM m) "
     f"SELECT half, third, bin_index, {_BIN_SQL} FROM g GROUP BY GROUPING SETS ((half, third, bin_index), (half, bin_index), (bin_index))"
 )
 def progress_bins_levels(t: Tables) -> DataFrame:
     """The same on three levels of grouping in one pass."""
-    rows = _metrics(t).withColumn("half", F.col("label") % 2).withColumn("third", F.col("label") % 3)
+    rows = metrics(t).withColumn("half", F.col("label") % 2).withColumn("third", F.col("label") % 3)
     return summaries.grouping_sets(rows, [["half", "third", "bin_index"], ["half", "bin_index"], ["bin_index"]], _bin_aggregates())
 
 
 @catalog.add(
-    f"{_METRICS_SQL} SELECT label, vec_id, position, length, position / length AS raw_ratio, bin_index / 20 AS binned_ratio, "
+    f"{METRICS_SQL} SELECT label, vec_id, position, length, position / length AS raw_ratio, bin_index / 20 AS binned_ratio, "
     "round(to_final, 6) AS similarity, round(to_next, 6) AS to_next FROM m"
 )
 def sequence_points(t: Tables) -> DataFrame:
     """One row per member with raw and binned progress."""
-    return _metrics(t).select(
+    return metrics(t).select(
         "label", "vec_id", F.col("position").cast("bigint").alias("position"), "length",
         (F.col("position") / F.col("length")).alias("raw_ratio"), (F.col("bin_index") / 20).alias("binned_ratio"),
         F.round("to_final", 6).alias("similarity"), F.round("to_next", 6).alias("to_next"),
@@ -88,48 +88,48 @@ def relative_to_final(t: Tables) -> DataFrame:
 
 
 @catalog.add(
-    f"{_METRICS_SQL}, th AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}])::DOUBLE AS threshold) "
+    f"{METRICS_SQL}, th AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}])::DOUBLE AS threshold) "
     "SELECT label, threshold, CAST(coalesce(sum(CASE WHEN to_next < threshold THEN 1 ELSE 0 END), 0) AS BIGINT) AS turnover, "
     "round(coalesce(sum(CASE WHEN to_next < threshold THEN 1 ELSE 0 END), 0) / max(length), 6) AS turnover_ratio FROM m, th GROUP BY label, threshold"
 )
 def turnover_ratio(t: Tables) -> DataFrame:
     """Neighbours below a threshold, over the sequence's length."""
-    rows = sequences.turnover(_metrics(t), ["label"], THRESHOLDS)
+    rows = sequences.turnover(metrics(t), ["label"], THRESHOLDS)
     return rows.select("label", "threshold", "turnover", F.round("turnover_ratio", 6).alias("turnover_ratio"))
 
 
 @catalog.add(
-    f"{_METRICS_SQL}, w AS (SELECT label, position / length AS place, greatest(0, 1 - to_next) AS weight FROM m WHERE to_next IS NOT NULL) "
+    f"{METRICS_SQL}, w AS (SELECT label, position / length AS place, greatest(0, 1 - to_next) AS weight FROM m WHERE to_next IS NOT NULL) "
     "SELECT label, round(sum(weight * place) / nullif(sum(weight), 0), 6) AS weighted_position FROM w GROUP BY label"
 )
 def wastp(t: Tables) -> DataFrame:
-    rows = sequences.weighted_turnover_position(_metrics(t), ["label"])
+    rows = sequences.weighted_turnover_position(metrics(t), ["label"])
     return rows.select("label", F.round("weighted_position", 6).alias("weighted_position"))
 
 
 @catalog.add(
-    f"{_METRICS_SQL}, w AS (SELECT label, position / length AS place, greatest(0, 1 - to_next) AS weight FROM m WHERE to_next IS NOT NULL), "
+    f"{METRICS_SQL}, w AS (SELECT label, position / length AS place, greatest(0, 1 - to_next) AS weight FROM m WHERE to_next IS NOT NULL), "
     "s AS (SELECT label % 2 AS half, label % 3 AS third, sum(weight * place) / nullif(sum(weight), 0) AS p FROM w GROUP BY label) "
     "SELECT half, round(avg(p) FILTER (WHERE third = 0), 4) AS third_0, round(avg(p) FILTER (WHERE third = 1), 4) AS third_1, "
     "round(avg(p) FILTER (WHERE third = 2), 4) AS third_2 FROM s GROUP BY half"
 )
 def wastp_pivot(t: Tables) -> DataFrame:
     """Mean weighted position as a table of two label properties."""
-    rows = sequences.weighted_turnover_position(_metrics(t), ["label"]).select(
+    rows = sequences.weighted_turnover_position(metrics(t), ["label"]).select(
         (F.col("label") % 2).alias("half"), F.concat(F.lit("third_"), F.col("label") % 3).alias("third"), "weighted_position"
     )
     return rows.groupBy("half").pivot("third", ["third_0", "third_1", "third_2"]).agg(F.round(F.avg("weighted_position"), 4))
 
 
 @catalog.add(
-    f"{_METRICS_SQL} SELECT length, count(*) AS n, round(min(to_next), 6) AS lowest, round(quantile_cont(to_next, 0.25), 6) AS p25, "
+    f"{METRICS_SQL} SELECT length, count(*) AS n, round(min(to_next), 6) AS lowest, round(quantile_cont(to_next, 0.25), 6) AS p25, "
     "round(quantile_cont(to_next, 0.5), 6) AS p50, round(quantile_cont(to_next, 0.75), 6) AS p75, round(max(to_next), 6) AS highest "
     "FROM m WHERE to_next IS NOT NULL GROUP BY length"
 )
 def neighbor_by_clip_count(t: Tables) -> DataFrame:
     spread = F.percentile("to_next", F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     names = ("lowest", "p25", "p50", "p75", "highest")
-    return _metrics(t).where("to_next IS NOT NULL").groupBy("length").agg(
+    return metrics(t).where("to_next IS NOT NULL").groupBy("length").agg(
         F.count("*").alias("n"), *[F.round(spread[i], 6).alias(x) for i, x in enumerate(names)]
     )
 
@@ -170,10 +170,10 @@ def pair_sensitivity(t: Tables) -> DataFrame:
     )
 
 
-@catalog.add(f"{_PAIR_SQL} SELECT label, vec_id, round(hcs, 6) AS hcs, round(nhcs, 6) AS nhcs, round(hcs / nhcs, 4) AS ratio FROM p WHERE abs(nhcs) > 0.001")
+@catalog.add(f"{_PAIR_SQL} SELECT label, vec_id, round(hcs, 6) AS hcs, round(nhcs, 6) AS nhcs, round(hcs / nhcs, 4) AS ratio FROM p WHERE abs(nhcs) > 1e-12")
 def ratio_points(t: Tables) -> DataFrame:
     """Ratio of two modes of one stream; near-zero denominators are left out."""
-    rows = _pairs(t).where(F.abs("nhcs") > 0.001)
+    rows = _pairs(t).where(F.abs("nhcs") > 1e-12)
     return rows.select("label", "vec_id", F.round("hcs", 6).alias("hcs"), F.round("nhcs", 6).alias("nhcs"), F.round(F.col("hcs") / F.col("nhcs"), 4).alias("ratio"))
 
 
@@ -202,7 +202,7 @@ c AS (SELECT result_id, model_label, prompt_name, dataset_name, utt_count, text,
 """
 
 
-def _clips(t: Tables) -> DataFrame:
+def clips(t: Tables) -> DataFrame:
     rows = t.clip_results.select("result_id", "model_label", "prompt_name", "dataset_name", "utt_count", "clip_identifier", "text")
     rows = rows.dropDuplicates(["result_id"])
     return rows.withColumn("prefix", clip_prefix(F.col("clip_identifier"))).withColumn("idx", clip_index(F.col("clip_identifier"))).drop("clip_identifier")
@@ -221,12 +221,12 @@ REFERENCE_MODEL = "vidlm-base"
 )
 def finalised_sequences(t: Tables) -> DataFrame:
     """Position, count and id of every clip in its sequence."""
-    rows = sequences.finalise_sequences(_clips(t), SEQUENCE, "idx")
+    rows = sequences.finalise_sequences(clips(t), SEQUENCE, "idx")
     return rows.select("result_id", "clip_position", "clip_count", F.round("progress_ratio", 6).alias("progress_ratio"), "is_final", "sequence_id")
 
 
 @catalog.add(
-    f"""{_CLIPS_SQL}, f AS (SELECT *, (starts_with(trim(text), '[ERROR]') OR regexp_matches(text, '(?i)(cuda.*out of memory|outofmemoryerror)')) IS TRUE AS bad FROM c),
+    f"""{_CLIPS_SQL}, f AS (SELECT *, (starts_with(trim(text), '[ERROR]') OR regexp_matches(text, '(?i)(cuda.*out of memory|outofmemoryerror|torch\\.cuda\\..*outofmemory|cuda out of memory)')) IS TRUE AS bad FROM c),
     g AS (SELECT *, bool_or(bad) OVER (PARTITION BY model_label, prompt_name, dataset_name, utt_count, prefix) AS any_bad FROM f),
     k AS (SELECT * FROM g WHERE NOT any_bad AND trim(coalesce(text, '')) <> '')
     SELECT result_id, CAST(row_number() OVER (PARTITION BY model_label, prompt_name, dataset_name, utt_count, prefix ORDER BY idx, result_id) AS INTEGER) AS position,
@@ -234,7 +234,7 @@ def finalised_sequences(t: Tables) -> DataFrame:
 )
 def valid_sequences(t: Tables) -> DataFrame:
     """Sequences without any error, renumbered after blanks are gone."""
-    rows = sequences.reject_sequences(_clips(t), SEQUENCE, is_error_text(F.col("text"))).where(~is_blank(F.col("text")))
+    rows = sequences.reject_sequences(clips(t), SEQUENCE, is_error_text(F.col("text"))).where(~is_blank(F.col("text")))
     return sequences.number_positions(rows, SEQUENCE, ["idx", "result_id"]).select("result_id", "position", "length")
 
 
@@ -249,7 +249,7 @@ def valid_sequences(t: Tables) -> DataFrame:
 def aligned_sequences(t: Tables) -> DataFrame:
     """Clips of two models' sequences with identical index lists, element by element."""
     keys = ["prompt_name", "dataset_name", "utt_count", "prefix"]
-    once = _clips(t).groupBy(*SEQUENCE, "idx").agg(F.min("result_id").alias("id"))
+    once = clips(t).groupBy(*SEQUENCE, "idx").agg(F.min("result_id").alias("id"))
     a, b = (once.where(F.col("model_label") == m).drop("model_label") for m in ("vidlm-base", "vidlm-small"))
     return matching.aligned_sequences(a, b, keys, "idx", "id")
 
@@ -264,7 +264,7 @@ def aligned_sequences(t: Tables) -> DataFrame:
 def aligned_models(t: Tables) -> DataFrame:
     """Clips of the reference model's sequences and of every other model's with
     identical index lists, element by element."""
-    once = _clips(t).groupBy(*SEQUENCE, "idx").agg(F.min("result_id").alias("id"))
+    once = clips(t).groupBy(*SEQUENCE, "idx").agg(F.min("result_id").alias("id"))
     a = once.where(F.col("model_label") == REFERENCE_MODEL).drop("model_label")
     b = once.where(F.col("model_label") != REFERENCE_MODEL)
     return matching.aligned_sequences(a, b, SEQUENCE[1:], "idx", "id", kept=("model_label",))
@@ -281,7 +281,7 @@ def aligned_models(t: Tables) -> DataFrame:
 def model_coverage(t: Tables) -> DataFrame:
     """Sequences each model answered and those it lacks: a sequence is present
     for as many models as answered it, so no pairs have to be formed."""
-    rows = _clips(t).where("prefix IS NOT NULL").select(*SEQUENCE).distinct()
+    rows = clips(t).where("prefix IS NOT NULL").select(*SEQUENCE).distinct()
     every = rows.drop("model_label").distinct().agg(F.count("*").alias("pairs"))
     present = rows.groupBy("model_label").agg(F.count("*").alias("present"))
     labels = t.clip_results.select("model_label").distinct().join(present, "model_label", "left").na.fill(0, ["present"])
@@ -299,7 +299,7 @@ def model_coverage(t: Tables) -> DataFrame:
 )
 def missing_sequences(t: Tables) -> DataFrame:
     """Each sequence some model answered with every model that lacks it."""
-    rows = _clips(t).where("prefix IS NOT NULL").select(*SEQUENCE).distinct()
+    rows = clips(t).where("prefix IS NOT NULL").select(*SEQUENCE).distinct()
     labels = t.clip_results.agg(F.collect_set("model_label").alias("labels"))
     wanted = rows.drop("model_label").distinct().withColumn("model_label", F.explode(labels.scalar())).alias("w")
     same = [F.col(f"w.{k}").eqNullSafe(F.col(f"p.{k}")) for k in SEQUENCE]

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
+import sysconfig
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: list[str] = []
+_runs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(cores: str = "*", partitions: int = 8, app: str = "strandline") -> SparkSession:
@@ -45,6 +50,51 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[0]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This run's own folder below the shared one; removed when the process ends."""
+    base = f"{shared_dir(spark)}/strandline"
+    if base not in _runs:
+        _runs[base] = f"{base}/run-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _runs[base])
+    return _runs[base]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if path.startswith(("/", "file:")):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone; sweep() removes what is left
+        return
+
+
+def sweep(spark: SparkSession, hours: float = 48.0) -> int:
+    """Remove the folders of runs that began longer ago and did not end in order; their number."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strandline")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    own = set(_runs.values())
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("run-") and f.getModificationTime() < (time.time() - hours * 3600) * 1000]
+    old = [p for p in old if not any(str(p).endswith(o.rsplit("/", 1)[-1]) for o in own)]
+    return sum(bool(fs.delete(p, True)) for p in old)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the workers where they could not import it: it is
+    neither installed nor on their path nor in the folder Spark was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *sysconfig.get_paths().values()]
+    if spark.sparkContext.applicationId in _shipped or root in map(os.path.abspath, filter(None, known)):
+        return
+    _shipped.add(spark.sparkContext.applicationId)
+    folder = tempfile.mkdtemp(prefix="strandline-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/strandline", "zip", root, "strandline"))
+
+
 def stage(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -53,11 +103,12 @@ def stage(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     the written table is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,9 @@
 """Data sources for binary sensor files: NumPy arrays and MessagePack streams.
 
 Register with ``spark.dataSource.register(NumpySource)`` and read by
-``spark.read.format("npy").load(path)``; each file is one partition.
+``spark.read.format("npy").load(path)``. Paths are local or URIs of any file
+system Arrow knows (``file:``, ``hdfs:``, ``s3:``, ...). A packet file is one
+partition, an array one for every ``SPAN`` values.
 """
 
 from __future__ import annotations
@@ -11,20 +13,44 @@ import io
 import os
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Values of an array that one partition reads, and that it holds at once.
+SPAN, HELD = 1 << 24, 1 << 18
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path or URI, and the path within it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def open_any(path: str) -> BinaryIO:
+    """Readable, seekable stream of a file wherever it lies."""
+    system, place = file_system(path)
+    return system.open_input_file(place)
+
 
 def _files(path: str, ending: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(path, "**", f"*{ending}"), recursive=True))
-    return sorted(glob.glob(path))
+    """Files below a folder, of a pattern of local names, or the file itself."""
+    if "*" in path or "?" in path:
+        return sorted(glob.glob(path.removeprefix("file://")))
+    system, place = file_system(path)
+    if system.get_file_info(place).type != fs.FileType.Directory:
+        return [path]
+    found = system.get_file_info(fs.FileSelector(place, recursive=True))
+    root = path.rstrip("/")
+    return sorted(root + f.path[len(place.rstrip("/")) :] for f in found if f.is_file and f.path.endswith(ending))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Span(InputPartition):
+    def __init__(self, path: str, low: int = 0, high: int = 0):
+        self.path, self.low, self.high = path, low, high
 
 
 class _Reader(DataSourceReader):
@@ -34,16 +60,41 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in _files(self.path, self.ending)]
+        return [_Span(p) for p in _files(self.path, self.ending)]
+
+
+def array_header(stream: BinaryIO) -> tuple[int, np.dtype, int]:
+    """(values, type, offset of the first) of an ``.npy`` stream."""
+    version = np.lib.format.read_magic(stream)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, kind = read(stream)
+    if kind.hasobject or (fortran and sum(n > 1 for n in shape) > 1):
+        raise ValueError("only plain arrays in row order are read")
+    return int(np.prod(shape, dtype=np.int64)), kind, stream.tell()
 
 
 class NumpyReader(_Reader):
     ending = ".npy"
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        values = np.load(partition.path, allow_pickle=False).reshape(-1)
-        for i, v in enumerate(values.astype(float).tolist()):
-            yield partition.path, i, v
+    def partitions(self) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        for path in _files(self.path, self.ending):
+            with open_any(path) as stream:
+                n = array_header(stream)[0]
+            out += [_Span(path, low, min(low + SPAN, n)) for low in range(0, n, SPAN)]
+        return out
+
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        with open_any(partition.path) as stream:
+            _, kind, offset = array_header(stream)
+            stream.seek(offset + partition.low * kind.itemsize)
+            for low in range(partition.low, partition.high, HELD):
+                n = min(HELD, partition.high - low)
+                values = np.frombuffer(stream.read(n * kind.itemsize), dtype=kind)
+                if len(values) < n:
+                    raise ValueError(f"{partition.path} ends before its values do")
+                for i, v in enumerate(values.astype(float).tolist(), low):
+                    yield partition.path, i, v
 
 
 class NumpySource(DataSource):
@@ -108,8 +159,10 @@ def unpack(stream: io.BufferedIOBase) -> object:
 class PacketReader(_Reader):
     ending = ".pldata"
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as stream:
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        with open_any(partition.path) as raw:
+            # buffered: values are read a few bytes at a time
+            stream = io.BufferedReader(raw, 1 << 20)
             at = 0
             while True:
                 try:
@@ -137,6 +190,9 @@ class PacketSource(DataSource):
         return PacketReader(self.options["path"])
 
 
-def parallel_arrays(a, b, on: str = "pos"):
-    """Two arrays read by position, cut to the shorter one."""
+def parallel_arrays(a, b, on: str = "pos", strict: bool = False):
+    """Two arrays read by position, cut to the shorter one; with ``strict``
+    arrays of different length are an error."""
+    if strict and (sizes := (a.count(), b.count()))[0] != sizes[1]:
+        raise ValueError(f"arrays of {sizes[0]} and {sizes[1]} values")
     return a.join(b, on)

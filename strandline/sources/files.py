@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.documents import children
+
 
 def json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(path, doc VARIANT, error): one row per file.
@@ -20,18 +22,29 @@ def json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> Data
 
 
 def csv_table(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
-    """CSV with a header, every column text; rows of the wrong shape are skipped.
+    """CSV with a header, every column text; rows of the wrong shape are skipped
+    (``csv_rejects`` lists them).
 
     Raises ``ValueError`` if a required column is missing.
     """
+    return _csv_rows(spark, path, required).where(F.col("_broken").isNull()).drop("_broken")
+
+
+def csv_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line) of the rows that ``csv_table`` skips."""
+    # the whole row is read, so that the reader does not prune what it judges by
+    rows = _csv_rows(spark, path).select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("path"))
+    return rows.where(F.col("row._broken").isNotNull()).select("path", F.col("row._broken").alias("line"))
+
+
+def _csv_rows(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
     head = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path).limit(0)
     lacking = set(required or []) - set(head.columns)
     if lacking:
         raise ValueError(f"{path} lacks the columns {sorted(lacking)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*head.columns, "_broken"]])
     reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
-    rows = reader.option("columnNameOfCorruptRecord", "_broken").csv(path)
-    return rows.where(F.col("_broken").isNull()).drop("_broken")
+    return reader.option("columnNameOfCorruptRecord", "_broken").csv(path)
 
 
 def csv_without_header(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -83,9 +96,8 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 def manifest(docs: DataFrame, doc: str = "doc", roots: tuple[str, ...] = ("records", "entries", "items", "data")) -> DataFrame:
     """(path, pos, record VARIANT) of documents that are a list, or an object
     that holds one under the first of ``roots`` it has."""
-    docs.select("path", F.coalesce(*[F.try_variant_get(doc, f"$.{r}", "variant") for r in roots], F.col(doc)).alias("_list")).createOrReplaceTempView("_manifest")
-    spark = docs.sparkSession
-    return spark.sql("SELECT m.path, x.pos, x.value AS record FROM _manifest m, LATERAL variant_explode(m._list) AS x WHERE x.key IS NULL")
+    listed = docs.select("path", F.coalesce(*[F.try_variant_get(doc, f"$.{r}", "variant") for r in roots], F.col(doc)).alias("list"))
+    return children(listed, "list", "_key", "pos", "record").where("_key IS NULL").select("path", "pos", "record")
 
 
 def transcript_words(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -102,8 +114,7 @@ def transcript_words(docs: DataFrame, doc: str = "doc") -> DataFrame:
 def voice_segments(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """(path, pos, start, end) of voice activity written as objects or as pairs."""
     listed = docs.select("path", F.try_variant_get(doc, '$["metadata:vad"]', "variant").alias("_list"))
-    listed.createOrReplaceTempView("_voice")
-    rows = docs.sparkSession.sql("SELECT v.path, x.pos, x.value FROM _voice v, LATERAL variant_explode(v._list) AS x")
+    rows = children(listed, "_list")
     pick = lambda name, i: F.coalesce(F.try_variant_get("value", f"$.{name}", "double"), F.try_variant_get("value", f"$[{i}]", "double"))
     return rows.select("path", "pos", pick("start", 0).alias("start"), pick("end", 1).alias("end")).where("start IS NOT NULL AND end IS NOT NULL")
 
@@ -112,11 +123,8 @@ def skeleton_tracks(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """(path, person, frame, keypoints, occluded) of skeleton documents: a list
     of frames, each an object of persons."""
     listed = docs.select("path", F.try_variant_get(doc, "$.annotations.skeletons", "variant").alias("_list"))
-    listed.createOrReplaceTempView("_skeletons")
-    rows = docs.sparkSession.sql(
-        "SELECT s.path, f.pos AS frame, p.key AS person, p.value FROM _skeletons s, "
-        "LATERAL variant_explode(s._list) AS f, LATERAL variant_explode(f.value) AS p"
-    )
+    frames = children(listed, "_list", "_none", "frame", "persons").drop("_none")
+    rows = children(frames, "persons", "person", "_at")
     return rows.select(
         "path", "person", "frame",
         F.try_variant_get("value", "$.keypoints", "array<double>").alias("keypoints"),

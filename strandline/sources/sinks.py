@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,18 +74,55 @@ def write_tsv_report(df: DataFrame, path: str, columns: list[str]) -> None:
     _write_text(df.sparkSession, path, "\n".join(["\t".join(columns), *["\t".join("" if r[c] is None else str(r[c]) for c in columns) for r in rows], ""]))
 
 
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, bool]]:
+    """(number, folder, whole) of the versions below a snapshot's folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [(f.getPath().getName(), str(f.getPath())) for f in fs.listStatus(root)]
+    listed = [(int(n[2:]), p) for n, p in names if n.startswith("v-") and n[2:].isdigit()]
+    return sorted((no, p, fs.exists(hadoop.Path(p + "/_SUCCESS"))) for no, p in listed)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version that was written as a whole; None if there is none."""
+    whole = [p for _, p, done in _versions(spark, path) if done]
+    return spark.read.parquet(whole[-1]) if whole else None
+
+
 def swap_snapshot(df: DataFrame, path: str) -> None:
-    """Replace a Parquet snapshot that ``df`` may itself read: written aside, then renamed."""
+    """Replace a Parquet snapshot that ``df`` may itself read.
+
+    Each version is a folder of its own, which counts once it is whole, so a
+    crash at any moment leaves the version before. That one is kept for readers
+    that hold it; older and broken ones are removed.
+    """
     spark = df.sparkSession
+    versions = _versions(spark, path)
+    last = versions[-1][0] if versions else 0
+    df.write.parquet(f"{path}/v-{last + 1:09d}")
     hadoop = spark._jvm.org.apache.hadoop.fs
-    target, aside, old = hadoop.Path(path), hadoop.Path(path + ".new"), hadoop.Path(path + ".old")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(aside, target)
-    fs.delete(old, True)
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [p for _, p, done in versions if done]
+    for _, p, _ in versions:
+        if p not in whole[-1:]:
+            fs.delete(hadoop.Path(p), True)
+
+
+def write_versioned(df: DataFrame, path: str, version: int) -> None:
+    """Snapshot of a result under the version of the schema it was made with."""
+    swap_snapshot(df, f"{path}/schema-{version}")
+
+
+def reuse_or_build(spark: SparkSession, path: str, version: int, build: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of this schema version, else ``build()``, written."""
+    held = read_snapshot(spark, f"{path}/schema-{version}")
+    if held is None:
+        write_versioned(build(), path, version)
+        held = read_snapshot(spark, f"{path}/schema-{version}")
+    return held
 
 
 def partition_summary(df: DataFrame, keys: list[str]) -> DataFrame:

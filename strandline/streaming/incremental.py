@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators.state import upsert
-from strandline.sources.sinks import swap_snapshot
+from strandline.sources.sinks import read_snapshot, swap_snapshot
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -29,14 +29,14 @@ def first_deliveries(stream: DataFrame, key: str, time: str, late: str = "2 hour
 
 def keep_registry(stream: DataFrame, registry: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     """Fold each micro-batch into a Parquet registry: the last change of a key
-    in a batch wins, and the registry is swapped as a whole, so a batch that is
-    run again after a failure gives the same registry."""
+    in a batch wins, and the registry (read it with ``read_snapshot``) is
+    swapped as a whole, so a batch that is run again after a failure gives the
+    same registry."""
 
     def fold(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         latest = batch.groupBy(*keys).agg(*[F.max_by(c, "changed_at").alias(c) for c in batch.columns if c not in keys])
-        path = spark._jvm.org.apache.hadoop.fs.Path(registry)
-        exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        swap_snapshot(upsert(spark.read.parquet(registry), latest, keys) if exists else latest, registry)
+        held = read_snapshot(spark, registry)
+        swap_snapshot(latest if held is None else upsert(held, latest, keys), registry)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -98,8 +98,45 @@ def test_sinks(spark, tmp_path):
     assert "a\\|b" in sinks.markdown_table(df.orderBy("i"), ["i", "s", "x"])
     sinks.write_tsv_report(df.orderBy("i"), str(tmp_path / "r.tsv"), ["i", "x"])
     assert (tmp_path / "r.tsv").read_text() == "i\tx\n1\t\n2\t0.5\n"
-    sinks.swap_snapshot(spark.read.parquet(str(tmp_path / "p")).where("i = 1"), str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+    kept = str(tmp_path / "kept")
+    assert sinks.read_snapshot(spark, kept) is None
+    for _ in range(3):
+        sinks.swap_snapshot(df, kept)
+    sinks.swap_snapshot(sinks.read_snapshot(spark, kept).where("i = 1"), kept)
+    assert sinks.read_snapshot(spark, kept).count() == 1
+    assert len(list((tmp_path / "kept").iterdir())) == 2  # the last and the one before
+
+
+def test_registry_survives_a_crash_while_it_is_swapped(spark, tmp_path):
+    kept = str(tmp_path / "reg")
+    sinks.swap_snapshot(spark.createDataFrame([("a", 1), ("b", 1)], "k string, n int"), kept)
+    # a version whose writing was cut off: data, but no mark that it is whole
+    (tmp_path / "reg" / "v-000000002").mkdir()
+    (tmp_path / "reg" / "v-000000002" / "part-0.parquet").write_bytes(b"half")
+    assert sorted(r["k"] for r in sinks.read_snapshot(spark, kept).collect()) == ["a", "b"]
+    from strandline.operators.state import upsert
+
+    sinks.swap_snapshot(upsert(sinks.read_snapshot(spark, kept), spark.createDataFrame([("c", 2)], "k string, n int"), ["k"]), kept)
+    assert sorted(r["k"] for r in sinks.read_snapshot(spark, kept).collect()) == ["a", "b", "c"]
+    assert not (tmp_path / "reg" / "v-000000002").exists()
+
+
+def test_versioned_results_are_reused(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    assert [sinks.reuse_or_build(spark, str(tmp_path / "m"), v, build).count() for v in (1, 1, 2)] == [3, 3, 3] and len(made) == 2
+
+
+def test_rows_of_the_wrong_shape_are_listed(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n3\n4,5,6\n7,8\n")
+    assert files.csv_table(spark, str(tmp_path / "x.csv")).count() == 2
+    assert sorted(r["line"] for r in files.csv_rejects(spark, str(tmp_path / "x.csv")).collect()) == ["3", "4,5,6"]
+    (tmp_path / "y.csv").write_text("1,a\n2,b\n")
+    assert [tuple(r) for r in files.csv_without_header(spark, str(tmp_path / "y.csv"), "n int, s string").collect()] == [(1, "a"), (2, "b")]
 
 
 def test_streaming_registry(spark, tmp_path):
@@ -108,4 +145,4 @@ def test_streaming_registry(spark, tmp_path):
     for rows in ([("a", "pending", 1), ("b", "pending", 1)], [("a", "done", 2), ("c", "pending", 2)]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         incremental.keep_registry(incremental.file_stream(spark, source, schema), registry, ["job"], str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r["job"], r["status"]) for r in spark.read.parquet(registry).collect()) == [("a", "done"), ("b", "pending"), ("c", "pending")]
+    assert sorted((r["job"], r["status"]) for r in sinks.read_snapshot(spark, registry).collect()) == [("a", "done"), ("b", "pending"), ("c", "pending")]
