@@ -293,7 +293,8 @@ def flag_readings(df: DataFrame, id_col: str, source_col: str, time_col: str, x_
     rows = df.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
-        F.col(time_col).cast("double").alias("t"),
+        # made by a generator, so that what is read from it does not make it again
+        F.explode(F.array(F.col(time_col).cast("double"))).alias("t"),
         F.col(x_col).cast("double").alias("x"),
         F.col(y_col).cast("double").alias("y"),
         F.col(confidence_col).cast("string").alias("confidence"),
