@@ -7,11 +7,16 @@ size turns the least overlap that must be found (``LEAST_SHARED`` shingles of
 a piece) into a least Jaccard similarity, and that into how many minima have
 to be compared so that an overlap is missed with a probability below ``MISS``.
 Small windows so need few minima, large ones more, and nothing is lost to a
-similarity threshold made for sets of equal size.
+similarity threshold made for sets of equal size. A window is two blocks, and
+minima are taken of blocks and then of pairs of blocks.
 
 A hit is verified: shared shingles are counted exactly, then the words of item
 and document are aligned in order, allowing isolated changes.
 
+Items of up to ``SHORT`` words, of which two fifths need not share that many
+shingles, are found through every run of ``run_words`` words they have, looked
+up exactly.
+
 The items are the query set. They are indexed in blocks of ``BLOCK`` items, a
 size that is checked, and every document is probed where it lies: documents
 are neither shuffled nor joined.
@@ -38,16 +43,21 @@ WINDOW, WINDOW_STEP = 64, 32
 SIZES = (16, 32, WINDOW)
 LEAST_SHARED = 5
 MISS = 1e-3
-BLOCK = 2_000
+#: Items indexed at once (some 5 KB each).
+BLOCK = 10_000
 #: Share of an item's words that one stretch of the document must repeat.
 LEAST_SHARE = 0.4
 #: Words that layout may add at one place inside a stretch.
 LAYOUT_WORDS = 5
+#: Two fifths of a longer item hold at least LEAST_SHARED shingles and one more.
+SHORT = 22
+#: Shingles whose minima are taken at once, so that they stay in the processor's cache.
+CACHED = 262_144
 
 _MARKUP = re.compile(r"<[^<>]{0,80}>")
 # a word that layout divides: soft hyphens, or a hyphen at a line end
-_BROKEN = re.compile("[\u00ad\u200b\u2060\ufeff]|(?<=\\w)[-\u2010\u2011][ \\t]*\\r?\\n\\s*(?=\\w)")
-_WORD = re.compile(r"[^\W_]+")
+BROKEN = re.compile("[\u00ad\u200b\u2060\ufeff]|(?<=\\w)[-\u2010\u2011][ \\t]*\\r?\\n\\s*(?=\\w)")
+WORD = re.compile(r"[^\W_]+")
 
 
 def minima_needed(size: int) -> int:
@@ -58,15 +68,37 @@ def minima_needed(size: int) -> int:
 
 MINIMA = tuple(minima_needed(s) for s in SIZES)
 _coin = np.random.default_rng(20_081)
-_A = _coin.integers(0, 2**63, max(MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _coin.integers(0, 2**63, max(MINIMA), dtype=np.uint64)
+# 32 bits suffice for minima: a chance hit is verified like any other
+_A = _coin.integers(0, 2**31, max(MINIMA), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _coin.integers(0, 2**32, max(MINIMA), dtype=np.uint32)
+
+
+def words_needed(n: int) -> int:
+    """Words of an item of ``n`` that one stretch must repeat: two fifths, but
+    at least SHINGLE, as fewer are a scrap, or the whole of a shorter item."""
+    return max(math.ceil(LEAST_SHARE * n - 1e-9), min(n, SHINGLE))
+
+
+def run_words(n: int) -> int:
+    """Words in a row through which a short item of ``n`` words is found: of a
+    stretch with one change at most, half the words needed are in a row."""
+    return n if n < SHINGLE else min(SHINGLE, max(3, words_needed(n) // 2))
 
 
 def words_of(text: str) -> list[str]:
     """Words without case, punctuation, layout and markup."""
-    text = _MARKUP.sub(" ", html.unescape(text)).lower()
-    text = _BROKEN.sub("", text).replace("’", "").replace("'", "")
-    return _WORD.findall(text)
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = _MARKUP.sub(" ", text)
+    return WORD.findall(undivided(text.lower()).replace("'", ""))
+
+
+def undivided(text: str) -> str:
+    """Text without signs that divide a word for layout's sake, and without curly apostrophes."""
+    if not text.isascii():
+        return BROKEN.sub("", text).replace("’", "")
+    return BROKEN.sub("", text) if "-" in text and "\n" in text else text
 
 
 class _Hasher:
@@ -79,28 +111,27 @@ class _Hasher:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        out = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out[i] = h
-        return out
-
-
-def shingle_hashes(word_hashes: np.ndarray) -> np.ndarray:
-    """One hash per run of ``SHINGLE`` words."""
-    n = len(word_hashes) - SHINGLE + 1
+        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(known))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def mixed_hashes(word_hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """One hash per run of ``size`` words."""
+    n = len(word_hashes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
-    for i in range(SHINGLE):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i : i + n]
+    for i in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += word_hashes[i : i + n]
     out ^= out >> np.uint64(33)
     out *= np.uint64(0xFF51AFD7ED558CCD)
     return out ^ (out >> np.uint64(33))
 
 
+shingle_hashes = mixed_hashes
+
+
 def _spans(n: int, size: int, step: int) -> list[tuple[int, int]]:
     """Overlapping stretches of at most ``size`` that cover 0..n."""
     if n <= size:
@@ -110,100 +141,155 @@ def _spans(n: int, size: int, step: int) -> list[tuple[int, int]]:
 
 
 class ItemIndex:
-    """Minima of the items' pieces, one sorted list per hash function."""
+    """Minima of the items' pieces, one sorted list per hash function, and the
+    word runs of short items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         hasher = _Hasher()
         self.ids = [i for i, _ in items]
-        self.words = [np.array(hasher(words_of(t))) for _, t in items]
+        self.words = [hasher(words_of(t)) for _, t in items]
         self.shingles = [np.unique(shingle_hashes(w)) for w in self.words]
         minima, owner = [], []
+        runs: dict[int, list] = {}
         for at, words in enumerate(self.words):
-            hashes = shingle_hashes(words)
-            if not len(hashes):
+            if 0 < len(words) <= SHORT:
+                size = run_words(len(words))
+                runs.setdefault(size, []).append((np.unique(mixed_hashes(words, size)), at))
                 continue
-            for a, b in _spans(len(hashes), PIECE, PIECE_STEP):
+            hashes = shingle_hashes(words).astype(np.uint32)
+            for a, b in _spans(len(hashes), PIECE, PIECE_STEP) if len(words) else []:
                 minima.append((hashes[a:b, None] * _A + _B).min(axis=0))
                 owner.append(at)
-        table = np.array(minima, dtype=np.uint64).reshape(len(owner), len(_A))
+        table = np.array(minima, dtype=np.uint32).reshape(len(owner), len(_A))
         order = np.argsort(table, axis=0, kind="stable")
-        self.minima = np.take_along_axis(table, order, axis=0)
-        self.owner = np.asarray(owner, dtype=np.int64)[order] if owner else np.zeros((0, len(_A)), dtype=np.int64)
+        self.minima = np.ascontiguousarray(np.take_along_axis(table, order, axis=0).T)
+        self.owner = np.ascontiguousarray(np.asarray(owner, dtype=np.int32)[order].T) if owner else np.zeros((len(_A), 0), dtype=np.int32)
+        # a first look at the lowest bits spares most minima the search
+        self.seen = np.zeros((len(_A), 1 << 16), dtype=bool) if 0 < len(owner) <= 1 << 13 else None
+        if self.seen is not None:
+            for i in range(len(_A)):
+                self.seen[i, self.minima[i] & np.uint32(0xFFFF)] = True
+        self.runs = {}
+        for size, listed in runs.items():
+            keys = np.concatenate([k for k, _ in listed])
+            order = np.argsort(keys, kind="stable")
+            self.runs[size] = (keys[order], np.concatenate([np.full(len(k), at) for k, at in listed])[order])
 
     def probe(self, i: int, minima: np.ndarray) -> Iterator[tuple[int, int]]:
         """(position in ``minima``, item) of equal minima of hash function ``i``."""
-        column = self.minima[:, i]
-        left = np.searchsorted(column, minima, side="left")
-        hit = np.flatnonzero((left < len(column)) & (column[np.minimum(left, len(column) - 1)] == minima)) if len(column) else []
-        for at in hit:
-            k = left[at]
-            while k < len(column) and column[k] == minima[at]:
-                yield int(at), int(self.owner[k, i])
-                k += 1
+        at = np.arange(len(minima)) if self.seen is None else np.flatnonzero(self.seen[i][minima & np.uint32(0xFFFF)])
+        yield from _equal(self.minima[i], self.owner[i], minima[at], at)
+
+    def probe_runs(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first and last place) of word runs of short items."""
+        for size, (keys, owner) in self.runs.items():
+            hashes = mixed_hashes(words, size)
+            for at, item in _equal(keys, owner, hashes, np.arange(len(hashes))):
+                yield item, at, at + size
+
+
+def _equal(keys: np.ndarray, owner: np.ndarray, values: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(place, owner) of every sorted key that equals a value."""
+    if not len(keys):
+        return
+    left = np.searchsorted(keys, values, side="left")
+    for j in np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == values):
+        k = left[j]
+        while k < len(keys) and keys[k] == values[j]:
+            yield int(places[j]), int(owner[k])
+            k += 1
 
 
 def aligned_words(item: np.ndarray, text: np.ndarray) -> int:
     """Most item words that one stretch of ``text`` repeats in order, where
     between two repeated words at most one item word is missing or changed and
     at most ``LAYOUT_WORDS`` words are added."""
-    n = len(text)
-    pad = LAYOUT_WORDS + 2
-    before = np.zeros(n + pad, dtype=np.int32)
-    before2 = np.zeros(n + pad, dtype=np.int32)
+    words = item.tolist()
+    places: dict[int, list[int]] = {w: [] for w in words}
+    for j, w in enumerate(text.tolist()):
+        if w in places:
+            places[w].append(j)
     best = 0
-    for word in item:
-        equal = text == word
-        # reach[k]: best alignment that ends k + 1 words before
-        reach = before[pad - 1 : pad - 1 + n].copy()
-        for k in range(1, LAYOUT_WORDS + 1):
-            np.maximum(reach, before[pad - 1 - k : pad - 1 - k + n], out=reach)
-        np.maximum(reach, before2[pad - 1 : pad - 1 + n], out=reach)
-        np.maximum(reach, before2[pad - 2 : pad - 2 + n], out=reach)
-        now = np.zeros(n + pad, dtype=np.int32)
-        now[pad:] = np.where(equal, reach + 1, 0)
-        best = max(best, int(now.max(initial=0)))
-        before2, before = before, now
+    before: dict[int, int] = {}
+    before2: dict[int, int] = {}
+    for w in words:
+        now: dict[int, int] = {}
+        for j in places[w]:
+            reach = max(before2.get(j - 1, 0), before2.get(j - 2, 0))
+            for k in range(1, LAYOUT_WORDS + 2):
+                if (n := before.get(j - k, 0)) > reach:
+                    reach = n
+            now[j] = reach + 1
+            best = max(best, reach + 1)
+        before, before2 = now, before
     return best
 
 
-def _partition(size: int) -> int:
-    return next(i for i, s in enumerate(SIZES) if size <= s)
+def _common(keys: np.ndarray, values: np.ndarray) -> int:
+    """How many of the sorted distinct ``keys`` are among the values."""
+    if not len(keys):
+        return 0
+    at = np.searchsorted(keys, values)
+    return len(set(at[keys[np.minimum(at, len(keys) - 1)] == values].tolist()))
 
 
-def probe_documents(texts: list[str | None], index: ItemIndex, hasher: _Hasher) -> list[tuple[int, int, int, float]]:
-    """(position, item position, aligned words, exact shingle containment)."""
-    words, hashes, windows = [], [], [[] for _ in SIZES]
-    for at, text in enumerate(texts):
-        w = hasher(words_of(text)) if text else np.zeros(0, dtype=np.uint64)
-        h = shingle_hashes(w)
-        words.append(w)
-        hashes.append(h)
-        if len(h):
-            for a, b in _spans(len(h), WINDOW, WINDOW_STEP):
-                windows[_partition(b - a)].append((at, a, b))
+def _window_hits(hashes: list[np.ndarray], index: ItemIndex) -> dict[tuple[int, int], list[int]]:
+    """(document, item) -> first and last shingle of the windows that share minima."""
     hits: dict[tuple[int, int], list[int]] = {}
-    for part, spans in enumerate(windows):
-        for low in range(0, len(spans), 4096):
-            chunk = spans[low : low + 4096]
-            flat = np.concatenate([hashes[at][a:b] for at, a, b in chunk])
-            edges = np.concatenate(([0], np.cumsum([b - a for _, a, b in chunk])[:-1]))
+    by_size: list[list[int]] = [[] for _ in SIZES]
+    for at, h in enumerate(hashes):
+        if len(h):
+            by_size[next((i for i, s in enumerate(SIZES) if len(h) <= s), len(SIZES) - 1)].append(at)
+    for part, docs in enumerate(by_size):
+        low = 0
+        while low < len(docs):
+            high, total = low, 0
+            while high < len(docs) and (high == low or total + len(hashes[docs[high]]) <= CACHED):
+                total += len(hashes[docs[high]])
+                high += 1
+            chunk, low = docs[low:high], high
+            flat = np.concatenate([hashes[at] for at in chunk]).astype(np.uint32)
+            sizes = np.array([len(hashes[at]) for at in chunk])
+            blocks = -(-sizes // WINDOW_STEP)
+            owner = np.repeat(np.arange(len(chunk)), blocks)
+            first = np.cumsum(blocks) - blocks
+            within = (np.arange(len(owner)) - first[owner]) * WINDOW_STEP
+            edges = np.repeat(np.cumsum(sizes) - sizes, blocks) + within
+            # a window is a block and the next of its document; a document of one block is one window
+            left = np.flatnonzero((np.arange(len(owner)) + 1 < (first + blocks)[owner]) | (blocks[owner] == 1))
+            right = np.where(blocks[owner[left]] == 1, left, left + 1)
+            scaled = np.empty_like(flat)
             for i in range(MINIMA[part]):
-                minima = np.minimum.reduceat(flat * _A[i] + _B[i], edges)
-                for at, item in index.probe(i, minima):
-                    doc, a, b = chunk[at]
-                    span = hits.setdefault((doc, item), [a, b])
-                    span[0], span[1] = min(span[0], a), max(span[1], b)
+                np.multiply(flat, _A[i], out=scaled)
+                np.add(scaled, _B[i], out=scaled)
+                each = np.minimum.reduceat(scaled, edges)
+                for at, item in index.probe(i, np.minimum(each[left], each[right])):
+                    doc, a = chunk[owner[left[at]]], int(within[left[at]])
+                    span = hits.setdefault((doc, item), [a, a + WINDOW])
+                    span[0], span[1] = min(span[0], a), max(span[1], a + WINDOW)
+    return hits
+
+
+def probe_documents(texts: list[str | None], index: ItemIndex, hasher: _Hasher) -> list[tuple[int, int, int, float]]:
+    """(position, item position, aligned words, exact shingle containment)."""
+    words = [hasher(words_of(t)) if t else np.zeros(0, dtype=np.uint64) for t in texts]
+    hashes = [shingle_hashes(w) for w in words]
+    hits = _window_hits(hashes, index) if index.owner.size else {}
+    for doc, w in enumerate(words if index.runs else []):
+        for item, a, b in index.probe_runs(w):
+            span = hits.setdefault((doc, item), [a, b])
+            span[0], span[1] = min(span[0], a), max(span[1], b)
     out = []
     for (doc, item), (a, b) in hits.items():
         own = index.words[item]
         reach = 2 * len(own)
         near = words[doc][max(0, a - reach) : b + SHINGLE + reach]
-        shared = np.isin(index.shingles[item], hashes[doc][max(0, a - reach) : b + reach]).sum()
-        if shared < LEAST_SHARED:  # a stray phrase
+        shared = _common(index.shingles[item], hashes[doc][max(0, a - reach) : b + reach])
+        if len(own) > SHORT and shared < LEAST_SHARED:  # a stray phrase
             continue
         aligned = aligned_words(own, near)
-        if aligned >= LEAST_SHARE * len(own):
-            out.append((doc, item, aligned, float(shared) / len(index.shingles[item])))
+        if aligned >= words_needed(len(own)):
+            out.append((doc, item, aligned, float(shared) / max(1, len(index.shingles[item]))))
     return out
 
 

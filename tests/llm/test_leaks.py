@@ -88,6 +88,26 @@ def test_blocks_of_items(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it).collect()) == [(i, i) for i in range(5)]
 
 
+def test_short_items(spark):
+    coin = random.Random(6)
+    items = [(n, " ".join(f"x{n}q{i}" for i in range(n))) for n in (1, 3, 4, 5, 8, 12, 20, 22)]
+    docs, truth = [], set()
+    for d, (n, text) in enumerate(items):
+        around, words = make(coin, 300), text.split()
+        docs.append((10 * d, " ".join(around[:150] + words + around[150:])))  # verbatim
+        truth.add((10 * d, n))
+        need = leaks.words_needed(n)
+        if n > 5:
+            docs.append((10 * d + 1, " ".join(around[:150] + words[-need:] + around[150:])))  # two fifths, verbatim
+            truth.add((10 * d + 1, n))
+            docs.append((10 * d + 2, " ".join(around[:150] + words[: need - 2] + around[150:])))  # a scrap
+        if need >= 6:
+            docs.append((10 * d + 3, " ".join(around[:150] + words[:3] + ["changed"] + words[4 : need + 1] + around[150:])))
+            truth.add((10 * d + 3, n))
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it).collect()} == truth
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     it = spark.createDataFrame([], "item_id bigint, item_text string")
