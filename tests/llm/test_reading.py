@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from strandline.llm import reading
 
 EASY = ["the cat sat on the bed", "she has a red ball", "they all eat and nap", "can the dog play", "he puts the cup on the table"]
@@ -49,6 +52,23 @@ def test_other_languages_and_no_labels(spark, languages):
     assert [(r["doc_id"], r["level"]) for r in got] == [(2, None)]
 
 
+def test_items_in_blocks_give_the_same_levels(spark, languages, monkeypatch):
+    rows = list(texts(random.Random(2), 40))
+    docs, items = frames(spark, rows)
+    items = items.unionByName(spark.createDataFrame([(9, "a passage that no document holds at all"), (10, HARD[2])], items.schema))
+    labels = spark.createDataFrame([(i, "r1", y) for i, _, y in rows], "doc_id bigint, rater string, reading_level int")
+    one = {tuple(r) for r in reading.reading_levels(docs, items, labels, languages).select("doc_id", F.round("level", 6)).collect()}
+    monkeypatch.setattr(reading, "ITEM_BLOCK", 1)
+    assert one == {tuple(r) for r in reading.reading_levels(docs, items, labels, languages).select("doc_id", F.round("level", 6)).collect()}
+
+
+def test_sentence_length_is_read_where_stops_are_kept(languages):
+    profiler = reading.Profiler(np.zeros(0, np.uint64), languages)
+    kept, _, times, stats = profiler.profile(["The cat sat on the bed. She has a red ball. " * 5, "the cat sat on the bed she has a red ball " * 20], [None, None])
+    assert kept.tolist() == [0, 1] and sum(times[0].as_py()) == 55
+    assert abs(np.exp(stats[0, 3]) - 5.5) < 1e-9 and np.isnan(stats[1, 3])
+
+
 def test_ranks_share_ties(spark):
     counted = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (1, "b", 2), (1, "c", 2)], "doc_id bigint, word string, times int")
     assert {r["word"]: r["rank"] for r in reading.word_ranks(counted).collect()} == {"a": 1.0, "b": 2.5, "c": 2.5}
