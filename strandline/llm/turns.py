@@ -6,7 +6,8 @@ observation is what a token is (its word, or a class for times, hesitations
 and labels before any word) and the kind of bracket it stands in; transitions have one matrix inside a bracket and one outside. The
 model starts from labels that only forms without doubt get (words in square
 brackets, words outside brackets, ...) and is then re-estimated from its own
-decoding, which settles words in round brackets: a sound note, or speech.
+decoding, which settles words in round brackets: a sound note, or speech. A
+transcript's own speaker label is its first token tagged as speaker.
 
 It is fitted on at most ``SAMPLE`` transcripts, so its size is bounded; every
 transcript is decoded.
@@ -22,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.speech import utterance_speaker
+from strandline.functions.speech import canonical_speaker, file_speaker
+from strandline.session import stage
 
 #: Transcripts that the tagger is fitted on, chosen by hash.
 SAMPLE = 20_000
@@ -45,12 +47,14 @@ TOKEN = re.compile(
 )
 #: uh, um, er, hm, mm and their spellings.
 HESITATION = re.compile(r"u+h+m*|u+m+|e+r+m*|e+h+m+|h+m+|m{2,}")
+SPOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+LETTERS = str.maketrans("abc", "123")
 APOSTROPHES = str.maketrans({c: "'" for c in "’ʼ‘`´"})
 
 
 def tokens(text: str) -> list[tuple[str, int, int, str]]:
-    """(observed form, bracket context, bracket number, text) of each token
-    that can be a word; bracket number 0 is outside."""
+    """(observed form, bracket context, bracket number, words) of each token
+    that can be a word; bracket number 0 is outside, words are lower case."""
     found: list[list] = []
     stack: list[tuple[str, int]] = []
     spans = 0
@@ -73,14 +77,18 @@ def tokens(text: str) -> list[tuple[str, int, int, str]]:
             if piece in _TOGGLE or piece in _OPEN:
                 stack.append((piece, len(found)))
             continue
-        form = "#time" if kind == "time" else piece.lower().translate(APOSTROPHES)
-        if kind == "word" and HESITATION.fullmatch(form):
-            form = "#hesitation"
-        found.append([form, 0, 0, piece, kind])
+        plain = piece.lower() if piece.isascii() else piece.lower().translate(APOSTROPHES)
+        form = "#time" if kind == "time" else plain
+        if kind == "word":
+            if plain[0] in "uehm" and HESITATION.fullmatch(plain):
+                form = "#hesitation"
+        else:
+            plain = " ".join(SPOKEN.findall(plain))
+        found.append([form, 0, 0, plain, kind])
     out = []
     begun = False
-    for form, context, span, piece, kind in found:
-        out.append(("#label" if kind == "label" and not begun else form, context, span, piece))
+    for form, context, span, plain, kind in found:
+        out.append(("#label" if kind == "label" and not begun else form, context, span, plain))
         begun = begun or (kind == "word" and CONTEXTS[context] in ("none", "paren"))
     return out
 
@@ -107,6 +115,8 @@ class Tagger:
         self.context = np.zeros((5, len(CONTEXTS)))
         self.first = np.zeros(5)
         self.step = np.zeros((2, 5, 5))
+        self.index: dict[str, int] | None = None
+        self.table: np.ndarray | None = None
 
     @classmethod
     def fit(cls, texts: list[str]) -> Tagger:
@@ -155,50 +165,59 @@ class Tagger:
 
     def _decode(self, rows: list) -> list[list[int]]:
         """Viterbi paths of all rows at once, those of like length together."""
-        out: list[list[int]] = [[] for _ in rows]
-        order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+        size = np.array([len(row) for row in rows], dtype=np.int64)
+        begin = np.cumsum(size) - size
+        unseen = len(self.words)
+        index = {form: i for i, form in enumerate(self.words)} if self.index is None else self.index
+        self.index = index
+        table = np.array([*self.words.values(), self.unseen]) if self.table is None else self.table
+        self.table = table
+        forms = np.array([index.get(f, unseen) for row in rows for f, _, _, _ in row], dtype=np.int64)
+        contexts = np.array([c for row in rows for _, c, _, _ in row], dtype=np.int64)
+        spans = np.array([b for row in rows for _, _, b, _ in row], dtype=np.int64)
+        observed = table[forms] + self.context.T[contexts]
+        inside = np.zeros(len(spans), dtype=np.int64)
+        inside[1:] = (spans[1:] > 0) & (spans[1:] == spans[:-1])
+        out = np.zeros(len(forms), dtype=np.int64)
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] > 0]
         for at in range(0, len(order), 512):
-            part = [i for i in order[at : at + 512] if rows[i]]
-            if not part:
-                continue
-            longest = max(len(rows[i]) for i in part)
-            seen = np.zeros((len(part), longest, 5))
-            same = np.zeros((len(part), longest), dtype=np.int64)
-            size = np.array([len(rows[i]) for i in part])
-            for r, i in enumerate(part):
-                last = 0
-                for t, (form, c, span, _) in enumerate(rows[i]):
-                    seen[r, t] = self.words.get(form, self.unseen) + self.context[:, c]
-                    same[r, t] = int(span > 0 and span == last)
-                    last = span
+            part = order[at : at + 512]
+            longest = int(size[part].max())
+            here = np.arange(longest) < size[part][:, None]
+            places = np.where(here, begin[part][:, None] + np.arange(longest), begin[part][:, None])
+            seen, same = observed[places], inside[places]
             score = self.first + seen[:, 0]
             back = np.zeros((len(part), longest, 5), dtype=np.int8)
             for t in range(1, longest):
                 paths = score[:, :, None] + self.step[same[:, t]]
                 back[:, t] = paths.argmax(1)
-                moved = paths.max(1) + seen[:, t]
-                score = np.where((t < size)[:, None], moved, score)
+                score = np.where(here[:, t, None], paths.max(1) + seen[:, t], score)
             tag = score.argmax(1)
             path = np.zeros((len(part), longest), dtype=np.int64)
+            each = np.arange(len(part))
             for t in range(longest - 1, -1, -1):
-                path[:, t] = np.where(t < size, tag, 0)
-                tag = np.where(t < size, back[np.arange(len(part)), t, tag], tag)
-            for r, i in enumerate(part):
-                out[i] = path[r, : size[r]].tolist()
+                path[:, t] = tag
+                tag = np.where(here[:, t], back[each, t, tag], tag)
+            out[places[here]] = path[here]
+        flat = out.tolist()
+        return [flat[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+
+    def read(self, texts: list[str | None]) -> list[tuple[str, str | None]]:
+        """Per transcript its spoken words, lower case, one space between, and
+        the speaker (p1, p2, p3) of the first token tagged as one, else None."""
+        out: list[tuple[str, str | None]] = []
+        for low in range(0, len(texts), 2_048):
+            rows = [tokens(t) if t else [] for t in texts[low : low + 2_048]]
+            for row, tags in zip(rows, self._decode(rows), strict=True):
+                label = next((plain for (_, _, _, plain), tag in zip(row, tags, strict=True) if tag == SPEAKER), None)
+                speaker = f"p{label[-1].translate(LETTERS)}" if label and label[-1] in "123abc" else None
+                out.append((" ".join([plain for (_, _, _, plain), tag in zip(row, tags, strict=True) if tag == SPEECH and plain]), speaker))
         return out
 
     def clean(self, texts: list[str | None]) -> list[str]:
-        """Spoken words of each transcript, lower case, one space between."""
-        rows = [tokens(t) if t else [] for t in texts]
-        return [_spoken(row, tags) for row, tags in zip(rows, self._decode(rows), strict=True)]
-
-
-def _spoken(row: list, tags: list[int]) -> str:
-    words = []
-    for (_, _, _, piece), tag in zip(row, tags, strict=True):
-        if tag == SPEECH:
-            words += re.findall(r"[^\W_]+(?:'[^\W_]+)*", piece.lower().translate(APOSTROPHES))
-    return " ".join(words)
+        """Spoken words of each transcript."""
+        return [text for text, _ in self.read(texts)]
 
 
 def fit_tagger(utterances: DataFrame, sample: int = SAMPLE) -> Tagger:
@@ -227,20 +246,24 @@ def speaker_turns(utterances: DataFrame, tagger: Tagger | None = None) -> DataFr
     rows = utterances.select(*columns).where("interaction_id IS NOT NULL").dropDuplicates(["utterance_id"])
     model = rows.sparkSession.sparkContext.broadcast(tagger or fit_tagger(utterances))
 
-    @F.pandas_udf("string")
-    def clean(text: pd.Series) -> pd.Series:
-        return pd.Series(model.value.clean([t if isinstance(t, str) else None for t in text]))
+    @F.pandas_udf("text string, speaker string")
+    def read(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(model.value.read([t if isinstance(t, str) else None for t in text]), columns=["text", "speaker"])
 
     start = F.when(~F.isnan("start_s"), F.col("start_s"))
     lacking = rows.groupBy("interaction_id").agg(F.max(start.isNull()).alias("lacks"))
-    spoken = rows.select(
+    # read once and written: chunks and turns both use it
+    spoken = rows.select("utterance_id", "interaction_id", "global_index", start.alias("start"), "speaker_role", "speaker_file_id", read("transcript").alias("said"))
+    spoken = spoken.select(
         "utterance_id",
         "interaction_id",
         "global_index",
-        start.alias("start"),
-        utterance_speaker(F.col("speaker_role"), F.col("transcript"), F.col("speaker_file_id")).alias("speaker"),
-        clean("transcript").alias("text"),
-    ).where("speaker IS NOT NULL AND text <> ''")
+        "start",
+        F.coalesce(canonical_speaker(F.col("speaker_role")), F.col("said.speaker"), file_speaker(F.col("speaker_file_id"))).alias("speaker"),
+        F.col("said.text").alias("text"),
+    )
+    # filtered only after it is written: a filter on what the tagger gives would run it twice
+    spoken = stage(spoken, "spoken").where("speaker IS NOT NULL AND text <> ''")
     placed = spoken.join(lacking.where("lacks"), "interaction_id", "left")
     by_index = F.coalesce(F.col("lacks"), F.lit(False))
     key = F.when(by_index, F.col("global_index").cast("double")).otherwise(F.col("start"))

@@ -43,6 +43,11 @@ def test_cleaning(tagger):
     assert tagger.clean([t for t, _ in CASES]) == [w for _, w in CASES]
 
 
+def test_speaker_is_the_first_token_tagged_as_one(tagger):
+    said = tagger.read(["<56.1s> Speaker 2: let me", ">> A: [door slams] we saw", "[P3] (noise) room 12", "SPEAKER_1 - it’s late", "we saw speaker 2: the lamp", "so plan b: water", "00:01 [laughter]", None])
+    assert [s for _, s in said] == ["p2", "p1", "p3", "p1", None, None, None, None]
+
+
 def test_long_text(tagger):
     assert len(tagger.clean(["we saw the lamp near the door " * 3_000])[0].split()) == 21_000
 
