@@ -51,3 +51,13 @@ def test_tokens_are_those_of_the_tokenizer(spark):
     t = Tokenizer.from_file(mixing.TOKENIZER)
     t.encode_special_tokens = True
     assert [r["n"] for r in df.collect()] == [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
+
+
+def test_token_counts_are_those_of_whole_texts():
+    import random
+
+    coin = random.Random(1)
+    signs = ["a", "B", "é", "  ", " ", "\n", "\t", " \n", "'s", "1", "²", "...", "<|endoftext|>", "日本", "\u00a0", "\r\n", "-", "’", " ", "word"]
+    texts = ["".join(coin.choice(signs) for _ in range(coin.randrange(14))) for _ in range(5_000)]
+    counter = mixing.TokenCounter(mixing.TOKENIZER)
+    assert counter.count(texts) == counter.whole(texts) == counter.count(texts)
