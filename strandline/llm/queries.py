@@ -43,7 +43,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaze = table(spark, sf_dir, "gaze_samples").select("sample_id", "recording_id", "world_timestamp")
     gaze = gaze.join(places.select("recording_id", "start_time_system_s", "start_time_synced_s"), "recording_id")
     us = timestamps.reading_us(value, system, synced)
-    gaze = gaze.select("sample_id", "recording_id", timestamps.to_ms(us).alias("at_ms"))
+    # made by a generator, so that filters and buckets do not make it again
+    gaze = gaze.select("sample_id", "recording_id", F.explode(F.array(timestamps.to_ms(us))).alias("at_ms"))
     return nearest.nearest_by_rings(clips, gaze, "timing_id", "sample_id", "recording_id", "at_ms", "at_ms", 20)
 
 
