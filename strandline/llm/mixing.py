@@ -16,14 +16,17 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.session import stage
 
+#: Default of the parameter ``tokenizer``; only the driver reads the file.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+LARGEST = 64 << 20
 #: Tokens of a block: a thousandth of the mix, within these bounds.
 SHORTEST, BLOCK = 32, 4_096
 SLOT_CHUNK = 1 << 14
@@ -38,7 +41,7 @@ def source_name(source: Column) -> Column:
 
 
 class TokenCounter:
-    """Tokens of texts by a byte-level BPE tokenizer file.
+    """Tokens of texts by the text of a tokenizer file (byte-level BPE).
 
     The tokenizer splits a text into words with the blank before them and never
     merges over such a border, so the count of a text is the sum of the counts
@@ -49,12 +52,12 @@ class TokenCounter:
 
     HELD = 1_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.encode_special_tokens = True
-        state = json.loads(self.tokenizer.to_str())
+        state = json.loads(text)
         split = state.get("pre_tokenizer") or {}
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", False) and not split.get("add_prefix_space") and not state.get("normalizer")
         self.known: dict[str, int] = {}
@@ -89,11 +92,16 @@ class TokenCounter:
 
 
 def count_tokens(path: str = TOKENIZER):
-    """Pandas UDF: tokens of each text (0 for null) by the tokenizer file at ``path``."""
+    """Pandas UDF: tokens of each text (0 for null) by the tokenizer file at
+    ``path``, which the driver reads and sends to the workers (at most LARGEST bytes)."""
+    text = Path(path).read_text(encoding="utf-8")
+    if len(text) > LARGEST:
+        raise ValueError(f"{path} is larger than a tokenizer file may be")
+    sent = SparkSession.active().sparkContext.broadcast(text)
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = TokenCounter(path)
+        counter = TokenCounter(sent.value)
         for texts in batches:
             out: list[int] = []
             for low in range(0, len(texts), 256):

@@ -20,14 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.session import stage
+
 #: Capacity of the top level; lower levels shrink by SHRINK to LEAST.
 CAPACITY = 1024
 SHRINK = 2.0 / 3.0
 LEAST = 16
 #: Probability that the stated rank error is exceeded at one percentile.
 DELTA = 0.01
-#: Sketches of one group that a single merge task takes in the first round are spread over so many tasks.
-FAN = 32
+#: Sketches of one group that meet in one row at most (about): more are merged in rounds.
+FAN = 64
+#: Sketches that a worker holds before it hands them on.
+HELD_GROUPS = 4_096
 #: Columns of a sketch: number of values, sum of squared shifts, levels.
 SKETCH = ("sketch_n", "sketch_squares", "sketch_levels")
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -112,8 +116,8 @@ def sketch(df: DataFrame, keys: list[str], value: str, capacity: int = CAPACITY)
     """One sketch per group: ``keys`` and the columns ``SKETCH``.
 
     Each partition builds sketches of what it holds before anything is
-    shuffled; they merge in two rounds, so a group that holds a third of all
-    rows is no task's alone. Values that are null, NaN or infinite are left
+    shuffled; they merge in rounds of bounded fan-in, so a group that holds a
+    third of all rows is no task's alone. Values that are null, NaN or infinite are left
     out; null keys form a group. An empty input gives no sketch.
     """
     fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
@@ -125,22 +129,49 @@ def sketch(df: DataFrame, keys: list[str], value: str, capacity: int = CAPACITY)
         held: dict[tuple, Compactors] = {}
         task = TaskContext.get()
         part = task.partitionId() if task else 0
+        turn = 0
+
+        def hand_on() -> pd.DataFrame:
+            out = [dict(zip(keys, key, strict=True)) | s.row() | {"_part": part, "_turn": turn} for key, s in held.items()]
+            held.clear()
+            return pd.DataFrame(out, columns=[*keys, *SKETCH, "_part", "_turn"]).astype({k: "object" for k in keys})
+
         for batch in batches:
             values = batch["_value"].to_numpy(dtype=float)
             for key, rows in batch.groupby(keys, dropna=False, sort=False).indices.items():
                 key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 if key not in held:
-                    held[key] = Compactors(_seed(part, *key), capacity)
+                    held[key] = Compactors(_seed(part, turn, *key), capacity)
                 held[key].add(values[rows])
-        out = [dict(zip(keys, key, strict=True)) | s.row() | {"_part": part % FAN} for key, s in held.items()]
-        yield pd.DataFrame(out, columns=[*keys, *SKETCH, "_part"]).astype({k: "object" for k in keys})
+            if len(held) > HELD_GROUPS:
+                yield hand_on()
+                turn += 1
+        yield hand_on()
 
-    partial = rows.mapInPandas(build, T.StructType([*fields, *_sketch_fields(), T.StructField("_part", T.LongType())]))
-    return merge(merge(partial, [*keys, "_part"], capacity), keys, capacity)
+    places = [T.StructField("_part", T.LongType()), T.StructField("_turn", T.LongType())]
+    partial = rows.mapInPandas(build, T.StructType([*fields, *_sketch_fields(), *places]))
+    return _merge_in_rounds(stage(partial, "sketches"), keys, ["_part", "_turn"], capacity)
 
 
 def merge(sketches: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
     """Combine the sketches of each group, level by level."""
+    others = [c for c in sketches.columns if c not in keys and c not in SKETCH]
+    return _merge_in_rounds(stage(sketches, "sketches"), keys, others, capacity)
+
+
+def _merge_in_rounds(sketches: DataFrame, keys: list[str], others: list[str], capacity: int) -> DataFrame:
+    """Merge until each group has one sketch; in a round with more than ``FAN``
+    sketches of a group these are spread by a hash of ``others``."""
+    while True:
+        most = sketches.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if most <= FAN:
+            return _merge_groups(sketches, keys, capacity)
+        bucket = F.pmod(F.xxhash64(*others, "sketch_n", "sketch_squares"), F.lit(math.ceil(most / FAN)))
+        sketches = stage(_merge_groups(sketches.withColumn("_bucket", bucket), [*keys, "_bucket"], capacity), "sketches")
+        others = ["_bucket"]
+
+
+def _merge_groups(sketches: DataFrame, keys: list[str], capacity: int) -> DataFrame:
     fields = [sketches.schema[k] for k in keys]
     schema = T.StructType([*fields, *_sketch_fields()])
     gathered = sketches.groupBy(*keys).agg(F.collect_list(F.struct(*SKETCH)).alias("_parts"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import leaks, mixing, nearest, pairs, percentiles, reading, turns
 from strandline.operators import timestamps
 from strandline.plans.core_problems import recordings
-from strandline.session import table
+from strandline.plans.time_sql import P4_SQL
+from strandline.session import stage, table
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,22 @@ def p3_daily_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.quantiles(percentiles.merge(daily, ["dataset", "utt_count"]), ["dataset", "utt_count"])
 
 
+def p3_bound_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exact ranks of all percentiles of a group lie within its
+    stated rank error, counted over all rows."""
+    keys = ["dataset", "utt_count"]
+    rows = percentiles.usable_durations(table(spark, sf_dir, "duration_records"))
+    told = stage(percentiles.quantiles(percentiles.sketch(rows, keys, "duration_seconds"), keys), "percentiles")
+    names = {f"p{round(q * 100):02d}": q for q in percentiles.PERCENTILES}
+    v = F.col("duration_seconds")
+    ranks = [F.count_if(v < F.col(c)).alias(f"{c}_below") for c in names] + [F.count_if(v <= F.col(c)).alias(f"{c}_upto") for c in names]
+    same = [rows[k].eqNullSafe(told[k]) for k in keys]
+    counted = rows.join(told, same[0] & same[1]).groupBy(told["dataset"], told["utt_count"]).agg(F.count("*").alias("n"), F.max("rank_error").alias("error"), *ranks)
+    room = F.col("error") + F.try_divide(F.lit(1.0), F.col("n"))
+    fits = [(F.col(f"{c}_below") / F.col("n") - q <= room) & (q - F.col(f"{c}_upto") / F.col("n") <= room) for c, q in names.items()]
+    return counted.select(*keys, "n", reduce(lambda x, y: x & y, fits).alias("within"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gaze sample nearest to the moment where each clip stopped."""
     places = recordings(spark, sf_dir)
@@ -79,6 +98,17 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target whether it is used, its cap is kept, and its share is within
+    two points of the target (rescaled for targets without documents)."""
+    rows = p9_report(spark, sf_dir)
+    used = F.col("records") > 0
+    live = F.sum(F.when(used, F.col("target_share")).otherwise(0.0)).over(Window.partitionBy(F.lit(0)))
+    wanted = F.when(used, F.col("target_share") / live).otherwise(0.0)
+    share = F.abs(F.col("reached_share") - wanted) <= 0.02
+    return rows.select("source", used.alias("used"), (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"), share.alias("share_kept"))
+
+
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading level of every English document."""
     tables = (table(spark, sf_dir, name) for name in ("documents", "eval_items", "reading_labels"))
@@ -95,16 +125,28 @@ def queries() -> dict:
         "p3_daily": p3_daily,
         "p3_percentiles": p3_percentiles,
         "p3_daily_combined": p3_daily_combined,
+        "p3_bound_holds": p3_bound_holds,
         "p4_found": p4_found,
         "p6_found": p6_found,
         "p7_found": p7_found,
         "p8_found": p8_found,
         "p9_mix": p9_mix,
         "p9_report": p9_report,
+        "p9_kept": p9_kept,
         "p10_found": p10_found,
         "p10_levels": p10_levels,
     }
 
 
+_NAME_SQL = r"nullif(regexp_replace(trim(lower(source)), '[\s-]+', '_', 'g'), '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose rows SQL can state: what must hold of the others' results."""
+    return {
+        "p4_found": P4_SQL,
+        "p3_bound_holds": """WITH r AS (SELECT DISTINCT ON (record_id) * FROM duration_records WHERE isfinite(duration_seconds) AND duration_seconds >= 0)
+            SELECT dataset, utt_count, count(*) AS n, true AS within FROM r GROUP BY dataset, utt_count""",
+        "p9_kept": f"""WITH t AS (SELECT DISTINCT {_NAME_SQL} AS source FROM mix_targets), d AS (SELECT DISTINCT {_NAME_SQL} AS source FROM documents WHERE text <> '')
+            SELECT t.source, d.source IS NOT NULL AS used, true AS cap_kept, true AS share_kept FROM t LEFT JOIN d ON d.source = t.source""",
+    }

@@ -59,5 +59,5 @@ def test_token_counts_are_those_of_whole_texts():
     coin = random.Random(1)
     signs = ["a", "B", "é", "  ", " ", "\n", "\t", " \n", "'s", "1", "²", "...", "<|endoftext|>", "日本", "\u00a0", "\r\n", "-", "’", " ", "word"]
     texts = ["".join(coin.choice(signs) for _ in range(coin.randrange(14))) for _ in range(5_000)]
-    counter = mixing.TokenCounter(mixing.TOKENIZER)
+    counter = mixing.TokenCounter(open(mixing.TOKENIZER, encoding="utf-8").read())
     assert counter.count(texts) == counter.whole(texts) == counter.count(texts)

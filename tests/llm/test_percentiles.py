@@ -31,6 +31,17 @@ def test_rank_error_within_bound(spark):
     assert direct["tiny"]["rank_error"] == 0 and direct["tiny"]["p50"] == 2.0
 
 
+def test_rounds_of_bounded_fan_in(spark, monkeypatch):
+    monkeypatch.setattr(pc, "FAN", 3)
+    monkeypatch.setattr(pc, "HELD_GROUPS", 1)
+    coin = np.random.default_rng(6)
+    values = coin.normal(0, 1, 40_000)
+    df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "g int, v double").repartition(20)
+    for row in pc.quantiles(pc.sketch(df, ["g"], "v"), ["g"]).collect():
+        own = values[row["g"] :: 2]
+        assert row["n"] == len(own) and worst(own, row) <= row["rank_error"] < 0.03
+
+
 def test_bad_values_null_keys_and_empty(spark):
     df = spark.createDataFrame([(None, 1.0), (None, None), ("a", float("nan")), ("a", float("inf")), ("a", 7.0)], "levels string, v double")
     got = {r["levels"]: (r["n"], r["p50"]) for r in pc.quantiles(pc.sketch(df, ["levels"], "v"), ["levels"]).collect()}
