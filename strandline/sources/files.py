@@ -27,14 +27,19 @@ def csv_table(spark: SparkSession, path: str, required: list[str] | None = None)
 
     Raises ``ValueError`` if a required column is missing.
     """
-    return _csv_rows(spark, path, required).where(F.col("_broken").isNull()).drop("_broken")
+    rows = _csv_rows(spark, path, required)
+    return rows.where(F.col("_broken").isNull() & _all_cells(rows)).drop("_broken")
 
 
 def csv_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(path, line) of the rows that ``csv_table`` skips."""
-    # the whole row is read, so that the reader does not prune what it judges by
-    rows = _csv_rows(spark, path).select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("path"))
-    return rows.where(F.col("row._broken").isNotNull()).select("path", F.col("row._broken").alias("line"))
+    rows = _csv_rows(spark, path)
+    return rows.where(F.col("_broken").isNotNull() & _all_cells(rows)).select(F.col("_metadata.file_path").alias("path"), F.col("_broken").alias("line"))
+
+
+def _all_cells(rows: DataFrame) -> Column:
+    """Always true, but asks for every column: the reader judges a row by those it is asked for."""
+    return F.length(F.concat_ws("", *[F.col(c) for c in rows.columns if c != "_broken"])) >= 0
 
 
 def _csv_rows(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
@@ -43,7 +48,7 @@ def _csv_rows(spark: SparkSession, path: str, required: list[str] | None = None)
     if lacking:
         raise ValueError(f"{path} lacks the columns {sorted(lacking)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*head.columns, "_broken"]])
-    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
+    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("columnPruning", False)
     return reader.option("columnNameOfCorruptRecord", "_broken").csv(path)
 
 
