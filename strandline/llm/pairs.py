@@ -59,24 +59,22 @@ END_SHARE = 0.02
 #: A whole response that recurs over so many prompts is no accident of cutting.
 RECURS = 3
 COPY_SIMILARITY = 0.85
-#: Distances up to this are computed in a band, longer texts in full.
-NEAR = 48
 #: Marks that a length limit leaves at the end of a text.
 CUT_MARKS = r"<\W*(max[_ ]?tokens|length|truncated|eos|end of text)\W*>?$|\[(truncated|cut off)$"
 
 # What stands for nothing, and how programs report failures.
 PLACEHOLDERS = ("null", "none", "nil", "nan", "n/a", "na", "undefined", "empty", "no response", "no answer", "tbd", "todo", "pending")
 ERROR_FORMS = (
-    r"^\W*error\W*$",
-    r"^\W*\[error\]",
-    r"^\W*error (code )?\d{3}",
-    r"^\W*http (error )?\d{3}",
-    r"^\W*error\s*:",
-    r"^\W*traceback \(",
-    r"^\W*([a-z_]\w*\.)*[a-z_]\w*(error|exception)\s*:",
-    r"^\W*cuda (error|out of memory)",
-    r"^\W*(fatal|exception|failed)\s*:",
-    r"^\W*segmentation fault",
+    r"error\W*$",
+    r"\[error\]",
+    r"error (code )?\d{3}",
+    r"http (error )?\d{3}",
+    r"error\s*:",
+    r"traceback \(",
+    r"([a-z_]\w*\.)*[a-z_]\w*(error|exception)\s*:",
+    r"cuda (error|out of memory)",
+    r"(fatal|exception|failed)\s*:",
+    r"segmentation fault",
 )
 # Closed-class words by which a speaker names itself, and by which something is denied, in the five languages.
 SELF = (
@@ -98,7 +96,10 @@ _SIGNS = (
 
 def plain(text: Column) -> Column:
     """Lower case, straight apostrophes, one space between words, no markup at the ends."""
-    text = F.translate(F.lower(text), *_SIGNS)
+    text = F.lower(text)
+    # the grave accent is the only one of the signs within ASCII
+    signs = (F.octet_length(text) != F.length(text)) | text.contains("`")
+    text = F.when(signs, F.translate(text, *_SIGNS)).otherwise(text)
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -109,19 +110,20 @@ def words_of(text: Column) -> Column:
 
 def is_empty(text: Column) -> Column:
     """Plain text that is null, blank, only signs, or only a placeholder."""
-    bare = F.regexp_replace(text, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return text.isNull() | (bare == "") | bare.isin(*PLACEHOLDERS)
+    return text.isNull() | ~text.rlike(r"[\p{L}\p{N}]") | text.rlike(rf"^[^\p{{L}}\p{{N}}]*(?:{'|'.join(PLACEHOLDERS)})[^\p{{L}}\p{{N}}]*$")
 
 
 def is_error(text: Column) -> Column:
     """Plain text that is a program's failure message."""
-    return text.rlike("|".join(ERROR_FORMS))
+    # with the anchor outside the alternatives, no place but the beginning is tried
+    return text.rlike(rf"^\W*(?:{'|'.join(ERROR_FORMS)})")
 
 
 def without_frame(text: Column) -> Column:
     """Words of plain text without a label before and an empty answer slot after."""
-    text = F.regexp_replace(text, r"^\W*(question|user|prompt|q|frage|pregunta|instruction)\s*:", "")
-    text = F.regexp_replace(text, r"\b(answer|assistant|a|antwort|respuesta)\s*:\W*$", "")
+    inner = F.regexp_replace(text, r"^\W*(question|user|prompt|q|frage|pregunta|instruction)\s*:", "")
+    inner = F.regexp_replace(inner, r"\b(answer|assistant|a|antwort|respuesta)\s*:\W*$", "")
+    text = F.when(text.contains(":"), inner).otherwise(text)
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -129,11 +131,9 @@ def is_copy(text: Column, question: Column) -> Column:
     """Framed-off text that is only the question, once or twice, nearly unchanged."""
 
     def like(a: Column, b: Column) -> Column:
-        # the length test first, so that the distance is only taken of near-equal lengths
-        room = (1 - COPY_SIMILARITY) * F.greatest(F.length(a), F.length(b))
-        bounded = F.levenshtein(a, b, NEAR)  # -1 beyond NEAR
-        distance = F.when(room <= NEAR, F.when(bounded >= 0, bounded)).otherwise(F.levenshtein(a, b))
-        return (F.abs(F.length(a) - F.length(b)) <= room) & (distance <= room)
+        # the length test first, so that the distance is only taken of near-equal lengths, in a band of what is allowed
+        room = F.floor((1 - COPY_SIMILARITY) * F.greatest(F.length(a), F.length(b))).cast("int")
+        return (F.abs(F.length(a) - F.length(b)) <= room) & (F.call_function("levenshtein", a, b, room) >= 0)  # -1 beyond
 
     return F.coalesce((F.length(question) > 0) & (like(text, question) | like(text, F.concat_ws(" ", question, question))), F.lit(False))
 
@@ -144,13 +144,22 @@ def outside_quotes(text: Column) -> Column:
 
 def opening_of(text: Column) -> Column:
     """The first ``OPENING`` words of a plain text."""
-    head = F.array_join(F.slice(F.split(F.trim(text), r"\s+", 2 * OPENING + 1), 1, 2 * OPENING), " ")
-    return F.slice(words_of(head), 1, OPENING)
+    # where quotes were taken out, blanks lie together
+    text = F.trim(F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text))
+    return F.slice(words_of(F.substring_index(text, " ", 2 * OPENING)), 1, OPENING)
+
+
+def _whole_word(listed: list[str]) -> str:
+    """Pattern of any of the words; most places are passed over at their first letter."""
+    rests = {}
+    for word in listed:
+        rests.setdefault(word[0], []).append(word[1:])
+    return rf"\b(?=[{''.join(rests)}])(?:{'|'.join(f'{a}(?:{"|".join(b)})' for a, b in rests.items())})\b"
 
 
 def later_first_person(outside: Column) -> Column:
     """From the first sentence after the first that speaks in the first person; NULL without one."""
-    person = r"\b(?:" + "|".join(SELF) + r")\b"
+    person = _whole_word(SELF)
     later = F.regexp_extract(outside, rf"[.!?:;]\s([^.!?:;]*{person}.*)$", 1)
     return F.when(outside.rlike(person), F.nullif(later, F.lit("")))
 
@@ -178,7 +187,9 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
     sets = openings.select("key", "n", F.array_distinct("opening").alias("words")).where(F.size("words") > 0)
     sig = F.array(*[_signature(F.col("words"), i) for i in range(HASHES)])
     bands = [F.xxhash64(F.lit(b), F.slice("sig", b * BAND_ROWS + 1, BAND_ROWS)) for b in range(HASHES // BAND_ROWS)]
-    keyed = sets.select("key", (-F.col("n")).alias("rank"), sig.alias("sig")).select("key", "rank", F.explode(F.array(*bands)).alias("bucket"))
+    # the minima are the costly part and used twice
+    banded = stage(sets.select("key", (-F.col("n")).alias("rank"), sig.alias("sig")).select("key", "rank", F.array(*bands).alias("buckets")), "bands")
+    keyed = banded.select("key", "rank", F.explode("buckets").alias("bucket"))
     heads = keyed.groupBy("bucket").agg(F.min(F.struct("rank", "key")).alias("head")).select("bucket", F.col("head.key").alias("cluster"))
     pairs = stage(keyed.select("key", "bucket").join(heads, "bucket").select("key", "cluster").distinct(), "bucket-pairs")
     two = pairs.where("key <> cluster").join(sets.select("key", "words"), "key").join(sets.select(F.col("key").alias("cluster"), F.col("words").alias("head")), "cluster")
@@ -310,15 +321,38 @@ def fit_languages(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 # ---------------------------------------------------------------- termination
 
 
+def _last(text: Column) -> Column:
+    """The last signs of a text: enough for a pattern of three signs at the end, without reading the rest."""
+    return F.substring(text, -8, 8)
+
+
 def _tail(text: Column) -> Column:
     """Plain text without closing quotes, brackets, markup and blanks."""
-    return F.regexp_replace(text, r"[\s\"'*_)\]]+$", "")
+    closing = r"[\s\"'*_)\]]+$"
+    return F.when(_last(text).rlike(closing), F.regexp_replace(text, closing, "")).otherwise(text)
+
+
+def _last_word(tail: Column) -> Column:
+    """The last word of a tail, blank without one; a word is tried from its beginning only."""
+    return F.regexp_extract(F.substring(tail, -80, 80), r"(?<![\p{L}\p{N}'])([\p{L}\p{N}']++)\W*+$", 1)
+
+
+def _is_cut(tail: Column) -> Column:
+    marks = tail.contains("<") | tail.contains("[")
+    return (marks & tail.rlike(CUT_MARKS)) | _last(tail).rlike(r"\p{L}-$")
+
+
+def _is_stopped(tail: Column) -> Column:
+    last = _last(tail)
+    return last.rlike(r"[.!?\u2026:;\u3002]$|[:;][-']?[)(dp]$") & ~last.rlike(r"(\.\.\.|\u2026)$")
 
 
 def sentence_ends(texts: DataFrame) -> DataFrame:
     """(word,): words of all ``text`` (plain) that end sentences often enough."""
-    token = F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}']+[\"*)]*(?:[.!?;](?![.\u2026]))?)"), 1)).alias("token")
-    tokens = texts.select(token).groupBy("token").agg(F.count("*").alias("uses"))
+    # no token goes over a blank, so the pattern need only read the distinct parts between blanks
+    parts = texts.select(F.explode(F.split("text", " ")).alias("part")).groupBy("part").agg(F.count("*").alias("uses"))
+    token = F.explode(F.regexp_extract_all("part", F.lit(r"([\p{L}\p{N}']+[\"*)]*(?:[.!?;](?![.\u2026]))?)"), 1)).alias("token")
+    tokens = parts.select(token, "uses").groupBy("token").agg(F.sum("uses").alias("uses"))
     ends = F.when(F.col("token").rlike("[.!?;]$"), F.col("uses")).otherwise(0)
     words = tokens.groupBy(F.regexp_extract("token", r"^([\p{L}\p{N}']+)", 1).alias("word")).agg(F.sum(ends).alias("ends"), F.sum("uses").alias("uses"))
     return words.where((F.col("ends") >= ENDS) & (F.col("ends") >= END_SHARE * F.col("uses"))).select("word")
@@ -350,9 +384,9 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: LanguageM
         _tail(text).alias("tail"),
     )
     early = F.when(is_empty(text), "empty").when(is_error(text), "error").when(is_copy(F.col("bare"), F.col("bare_question")), "copy")
-    rows = rows.withColumn("early", early)
-    tail, outside = F.col("tail"), F.col("outside")
-    late = later_first_person(outside)
+    rows = rows.withColumns({"early": early, "late_part": later_first_person(F.col("outside"))})
+    rows = rows.withColumns({"opening": opening_of(F.col("outside")), "late": F.when(F.col("late_part").isNotNull(), opening_of(F.col("late_part")))})
+    tail = F.col("tail")
     # everything that is read from a text alone is read once and written
     read = stage(
         rows.select(
@@ -362,11 +396,14 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: LanguageM
             F.xxhash64("question").alias("asked"),
             "question",
             text.alias("text"),
-            opening_of(outside).alias("opening"),
-            F.when(late.isNotNull(), opening_of(late)).alias("late"),
-            F.regexp_extract(F.substring(tail, -80, 80), r"([\p{L}\p{N}']+)\W*$", 1).alias("last_word"),
-            (tail.rlike(CUT_MARKS) | tail.rlike(r"\p{L}-$")).alias("cut"),
-            (tail.rlike(r"[.!?\u2026:;\u3002]$|[:;][-']?[)(dp]$") & ~tail.rlike(r"(\.\.\.|\u2026)$")).alias("stopped"),
+            F.col("opening"),
+            F.xxhash64("opening").alias("key"),
+            F.col("late"),
+            F.when(F.col("late").isNotNull(), F.xxhash64("late")).alias("late_key"),
+            # only an answer without a closing stop is judged by its last word
+            F.when(~_is_stopped(tail), _last_word(tail)).alias("last_word"),
+            _is_cut(tail).alias("cut"),
+            _is_stopped(tail).alias("stopped"),
             language(F.when(F.col("early").isNull(), F.col("raw"))).alias("answered_in"),
         ),
         "pairs",
@@ -395,10 +432,10 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: LanguageM
     ends = stage(sentence_ends(answers.select("text")).select(F.col("word").alias("last_word"), F.lit(True).alias("final")), "ends")
     # only answers without a closing stop can be cut, and only those need more statistics
     open_ended = ~F.col("stopped") & (F.col("last_word") != "")
-    whole = answers.where(open_ended).groupBy(F.xxhash64("text").alias("text_hash")).agg(F.approx_count_distinct("asked", 0.02).alias("prompts"))
+    whole = answers.where(open_ended).select(F.xxhash64("text").alias("text_hash"), "asked").distinct().groupBy("text_hash").agg(F.count("*").alias("prompts"))
     whole = whole.where(F.col("prompts") >= RECURS).select("text_hash", F.lit(True).alias("recurs"))
     told = (
-        answers.select("pair_table", "pair_id", "asked", "last_word", "cut", "stopped", "answered_in", F.xxhash64("text").alias("text_hash"), F.xxhash64("opening").alias("key"), F.when(F.col("late").isNotNull(), F.xxhash64("late")).alias("late_key"))
+        answers.select("pair_table", "pair_id", "asked", "last_word", "cut", "stopped", "answered_in", F.xxhash64("text").alias("text_hash"), "key", "late_key")
         .join(refusing.withColumn("refuses", F.lit(True)), "key", "left")
         .join(refusing.select(F.col("key").alias("late_key"), F.lit(True).alias("refuses_late")), "late_key", "left")
         .join(languages_asked, "asked", "left")

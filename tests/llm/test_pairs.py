@@ -1,6 +1,10 @@
 """Problem 6 on hand-made pairs."""
 
+from pyspark.sql import functions as F
+
+from strandline.llm import pairs
 from strandline.llm.pairs import defective_pairs
+from strandline.session import stage
 
 QUESTIONS = [f"{a} {b}?" for a in ("What does the last speaker want to do", "How could the listener respond to this", "Why does the speaker say this") for b in ("in this clip", "in the video", "now")]
 SCHEMA = "pair_table string, pair_id bigint, question string, text string"
@@ -71,3 +75,33 @@ def test_language_of_a_short_question_is_that_of_its_answers(spark, languages):
     spanish = "La persona quiere saber qué piensan los demás sobre este plan y si mañana van a ir con ella."
     cases = [(asked, spanish.replace("plan", w)) for w in ("plan", "grupo", "día", "libro")] + [(asked, f"{GOOD}.")]
     assert run(spark, languages, cases) == [None] * 4 + ["other_language"]
+
+
+def test_costly_parts_are_made_once(spark, languages, monkeypatch):
+    staged = []
+
+    def keep(df, name, partitions=None):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        staged.append((name, plan, written := stage(df, name, partitions)))
+        return written
+
+    monkeypatch.setattr(pairs, "stage", keep)
+    run(spark, languages, [(QUESTIONS[0], GOOD), (QUESTIONS[1], f"{GOOD}.")])
+    # minima of hashes: once for prompts and once for openings, not for buckets and heads each
+    assert [(name, plan.count("array_min")) for name, plan, _ in staged if "array_min" in plan] == [("bands", pairs.HASHES)] * 2
+    # the pattern of tokens reads distinct parts only, below it the parts are counted
+    (ends,) = (plan for name, plan, _ in staged if name == "ends")
+    assert "regexp_extract_all(part" in ends and "regexp_extract_all(text" not in ends
+    # an answer with a closing stop has no use for its last word
+    read = {r["pair_id"]: r["last_word"] for r in next(df for name, _, df in staged if name == "pairs").where("pair_table = 't'").collect()}
+    assert read[0] == "room" and read[1] is None
+
+
+def test_ends_of_odd_texts(spark):
+    cases = [
+        ("what is naïve über", "über", False, False), ("x" * 200, "x" * 80, False, False), ("don't -- ", "don't", False, False), ("well done.", "done", False, True), ("la é", "la", False, False),
+        ("wait...", "wait", False, False), ("so it ends :-)", "ends", False, True), ("a pla-", "pla", True, False), ("and the <max_tokens>", "tokens", True, False), ("", "", False, False), (None, None, None, None),
+    ]
+    tail = F.col("tail")
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, tail string").orderBy("i")
+    assert [tuple(r) for r in df.select("tail", pairs._last_word(tail), pairs._is_cut(tail), pairs._is_stopped(tail)).collect()] == cases
